@@ -1 +1,189 @@
-"""Queries."""
+"""Queries: rolling windows, pair distances, clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewire.catalog.registry import query, r6, s6
+from tidewire.catalog.views import NEWS_SQL, VECTORS_SQL, article_clock, article_vectors
+from tidewire.operators import clusters, windows
+from tidewire.operators.silhouette import silhouette
+from tidewire.operators.windows import Lookback
+
+LOOK = Lookback(days=7, horizon=30, min_news=231)
+
+MEMBERS_SQL = """members AS (
+  SELECT a.idx_news AS anchor_id, a.date AS anchor_date, m.idx_news AS member_id, m.date AS member_date
+  FROM news a JOIN news m ON (m.date > a.date - INTERVAL 7 DAY AND m.date <= a.date - INTERVAL 30 MINUTE) OR m.date = a.date
+  WHERE a.date > (SELECT min(date) FROM news) + INTERVAL 7 DAY)"""
+ELIGIBLE_SQL = f"""eligible AS (SELECT anchor_id AS idx_news, anchor_date AS date, count(*) AS n_members,
+  count(*) >= {LOOK.min_news} AS eligible FROM members GROUP BY ALL)"""
+SCHEDULE_SQL = """lagged AS (SELECT *, lag(date) OVER (ORDER BY date) AS pd, lag(eligible) OVER (ORDER BY date) AS pe FROM eligible),
+flagged AS (SELECT *, eligible AND (pd IS NULL OR NOT pe OR CAST(pd AS DATE) <> CAST(date AS DATE)) AS refit FROM lagged),
+schedule AS (SELECT idx_news, date, n_members, eligible, refit, CASE WHEN eligible THEN
+  last_value(CASE WHEN refit THEN idx_news END IGNORE NULLS) OVER (ORDER BY date) END AS chain_id FROM flagged)"""
+WINDOW_SQL = f"{NEWS_SQL}, {MEMBERS_SQL}, {ELIGIBLE_SQL}, {SCHEDULE_SQL}"
+
+
+@query("window_members", f"WITH {NEWS_SQL}, {MEMBERS_SQL} SELECT anchor_id, member_id FROM members")
+def _(spark, d):
+    return windows.window_members(article_clock(spark, d), LOOK).select("anchor_id", "member_id")
+
+
+@query("eligible_anchors", f"WITH {NEWS_SQL}, {MEMBERS_SQL}, {ELIGIBLE_SQL} SELECT idx_news, n_members, eligible FROM eligible")
+def _(spark, d):
+    return windows.eligible_anchors(article_clock(spark, d), LOOK).select("idx_news", "n_members", "eligible")
+
+
+@query("refit_schedule", f"WITH {WINDOW_SQL} SELECT idx_news, n_members, eligible, refit, chain_id FROM schedule")
+def _(spark, d):
+    out = windows.refit_schedule(article_clock(spark, d), LOOK)
+    return out.select("idx_news", "n_members", "eligible", "refit", "chain_id")
+
+
+# --- clustering of the refit windows ------------------------------------------------
+
+# Different vectors of the tables lie 0.49 and more apart: the grid starts there.
+EPS, SIZE_MIN = 0.65, 3
+GRID = [0.6, 0.65, 0.7, 0.75]
+
+
+def refit_points(spark, d):
+    """(window, node, embedding, label): members of every window that is fitted."""
+    vectors = article_vectors(spark, d).select("idx_news", "embedding", "label")
+    clock = article_clock(spark, d)
+    fits = windows.refit_schedule(clock, LOOK).filter("refit")
+    members = windows.window_members(clock, LOOK, of=fits)
+    rows = members.select(F.col("anchor_id").alias("window"), F.col("member_id").alias("node"))
+    return rows.join(vectors.withColumnRenamed("idx_news", "node"), "node").select("window", "node", "embedding", "label")
+
+
+POINTS_SQL = f"""{WINDOW_SQL}, {VECTORS_SQL},
+dists AS MATERIALIZED (SELECT a.idx_news AS a, b.idx_news AS b, 1 - list_cosine_similarity(a.v, b.v) AS dist
+  FROM vectors a JOIN vectors b ON b.date BETWEEN a.date - INTERVAL 7 DAY AND a.date + INTERVAL 7 DAY),
+points AS MATERIALIZED (SELECT s.idx_news AS win, m.member_id AS node, v.label FROM schedule s
+  JOIN members m ON m.anchor_id = s.idx_news JOIN vectors v ON v.idx_news = m.member_id WHERE s.refit),
+nbr AS MATERIALIZED (SELECT p.win, p.node AS u, q.node AS w, q.label AS wl, p.label AS ul, d.dist FROM points p JOIN points q ON q.win = p.win
+  JOIN dists d ON d.a = p.node AND d.b = q.node)"""
+
+GRID_SQL = ", ".join(f"({i}, {e})" for i, e in enumerate(GRID))
+# One clustering per window and eps: reachability of core points by recursion.
+DBSCAN_SQL = f"""{POINTS_SQL},
+params(param, eps) AS (VALUES {GRID_SQL}),
+core AS MATERIALIZED (SELECT win, param, u FROM nbr JOIN params ON dist <= eps GROUP BY ALL HAVING count(*) >= {SIZE_MIN}),
+edges AS MATERIALIZED (SELECT n.win, p.param, n.u, n.w FROM nbr n JOIN params p ON n.dist <= p.eps
+  JOIN core a ON a.win = n.win AND a.param = p.param AND a.u = n.u
+  JOIN core b ON b.win = n.win AND b.param = p.param AND b.u = n.w),
+reach AS (SELECT win, param, u, u AS r FROM core
+  UNION SELECT e.win, e.param, e.w, r.r FROM reach r JOIN edges e ON e.win = r.win AND e.param = r.param AND e.u = r.u),
+comp AS (SELECT win, param, u, min(r) AS root FROM reach GROUP BY ALL),
+border AS (SELECT n.win, p.param, n.u, min(c.root) AS root FROM nbr n JOIN params p ON n.dist <= p.eps
+  JOIN comp c ON c.win = n.win AND c.param = p.param AND c.u = n.w
+  LEFT JOIN core k ON k.win = n.win AND k.param = p.param AND k.u = n.u WHERE k.u IS NULL GROUP BY ALL),
+rooted AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+numbered AS (SELECT win, param, u, dense_rank() OVER (PARTITION BY win, param ORDER BY root) - 1 AS label FROM rooted),
+labelled AS (SELECT p.win, g.param, p.node, coalesce(n.label, -1) AS label FROM points p CROSS JOIN params g
+  LEFT JOIN numbered n ON n.win = p.win AND n.param = g.param AND n.u = p.node)"""
+
+
+@query("pair_distance", f"""WITH RECURSIVE {POINTS_SQL}
+SELECT win AS "window", u AS node, {", ".join(f"count(*) FILTER (dist <= {e}) AS n{i}" for i, e in enumerate(GRID))} FROM nbr GROUP BY win, u""")
+def _(spark, d):
+    out = clusters.neighbour_counts(refit_points(spark, d), GRID)
+    return out.select("window", "node", *[F.col("deg")[i].cast("bigint").alias(f"n{i}") for i in range(len(GRID))])
+
+
+@query("dbscan", f"""WITH RECURSIVE {DBSCAN_SQL} SELECT win AS "window", node, label FROM labelled WHERE param = {GRID.index(EPS)}""")
+def _(spark, d):
+    out = clusters.dbscan(refit_points(spark, d), EPS, SIZE_MIN)
+    return out.select("window", "node", F.col("label").cast("bigint").alias("label"))
+
+
+@query("multi_eps", f"""WITH RECURSIVE {DBSCAN_SQL} SELECT win AS "window", param, node, label FROM labelled""")
+def _(spark, d):
+    out = clusters.multi_eps(refit_points(spark, d), [(e, SIZE_MIN) for e in GRID])
+    return out.select("window", F.col("param").cast("bigint").alias("param"), "node", F.col("label").cast("bigint").alias("label"))
+
+
+@query("eps_sweep", f"""WITH RECURSIVE {DBSCAN_SQL},
+counts AS (SELECT win, param, count(DISTINCT label) AS nb_cluster FROM labelled GROUP BY ALL),
+best AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY win ORDER BY nb_cluster DESC, param) = 1)
+SELECT l.win AS "window", l.node, l.label, CAST(p.eps AS DOUBLE) AS eps, b.nb_cluster
+FROM labelled l JOIN best b USING (win, param) JOIN params p USING (param)""")
+def _(spark, d):
+    labels, chosen = clusters.eps_sweep(refit_points(spark, d), GRID, SIZE_MIN)
+    return labels.join(chosen, "window").select(
+        "window", "node", F.col("label").cast("bigint").alias("label"), "eps", "nb_cluster")
+
+
+# Mean distance to each cluster, pair by pair.
+def _silhouette_sql(rows: str, keys: str) -> str:
+    k = [c.strip() for c in keys.split(",")]
+    same = " AND ".join(f"a.{c} = b.{c}" for c in k)
+    return f"""per AS (SELECT {', '.join('a.' + c for c in k)}, a.node, a.label, b.label AS other, sum(d.dist) AS s, count(*) AS n
+  FROM {rows} a JOIN {rows} b ON {same} JOIN dists d ON d.a = a.node AND d.b = b.node
+  WHERE a.label <> -1 AND b.label <> -1 GROUP BY ALL),
+ab AS (SELECT {keys}, node, label, max(CASE WHEN other = label THEN n END) AS n,
+  max(CASE WHEN other = label THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM per GROUP BY {keys}, node, label),
+sil AS (SELECT {keys}, node, label, CASE WHEN b IS NULL THEN NULL WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)"""
+
+
+@query("silhouette", f"""WITH RECURSIVE {POINTS_SQL}, {_silhouette_sql('points', 'win')}
+SELECT win AS "window", CAST(label AS BIGINT) AS label, {s6('avg(s)')} AS silhouette_score FROM sil GROUP BY GROUPING SETS ((win, label), (win))""")
+def _(spark, d):
+    out = silhouette(refit_points(spark, d), ["window"])
+    return out.select("window", F.col("label").cast("bigint").alias("label"), r6("silhouette_score").alias("silhouette_score"))
+
+
+@query("silhouette_sweep", f"""WITH RECURSIVE {DBSCAN_SQL}, {_silhouette_sql('labelled', 'win, param')},
+scores AS (SELECT win, param, avg(s) AS score FROM sil GROUP BY ALL HAVING avg(s) IS NOT NULL),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY win ORDER BY score DESC, param) = 1)
+SELECT w.win AS "window", CAST(coalesce(p.eps, 0.1) AS DOUBLE) AS eps, {s6('b.score')} AS silhouette_score
+FROM (SELECT DISTINCT win FROM points) w LEFT JOIN best b USING (win) LEFT JOIN params p USING (param)""")
+def _(spark, d):
+    _, chosen = clusters.silhouette_sweep(refit_points(spark, d), GRID, [SIZE_MIN])
+    return chosen.select("window", "eps", r6("silhouette_score").alias("silhouette_score"))
+
+
+@query("label_vote", f"""WITH {NEWS_SQL}, {VECTORS_SQL}, {MEMBERS_SQL}
+SELECT * FROM (SELECT anchor_id, CAST(label AS BIGINT) AS label, count(*) AS votes
+  FROM members JOIN vectors v ON v.idx_news = member_id WHERE label <> -1 AND member_id <> anchor_id GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY votes DESC, label) = 1""")
+def _(spark, d):
+    labels = article_vectors(spark, d).select(F.col("idx_news").alias("member_id"), "label").filter("label <> -1")
+    pairs = windows.window_members(article_clock(spark, d), LOOK).filter("member_id <> anchor_id")
+    out = clusters.label_vote(pairs.join(labels, "member_id"), ["anchor_id"])
+    return out.select("anchor_id", F.col("label").cast("bigint").alias("label"), "votes")
+
+
+def chain_labels(spark, d):
+    """Fit every chain's first window, then label the later articles one by one."""
+    from tidewire.plans import cluster_features
+
+    vectors = article_vectors(spark, d)
+    return cluster_features.chain_labels(
+        vectors.select("idx_news", "date", "embedding"), LOOK, fit=lambda p: clusters.eps_sweep(p, GRID, SIZE_MIN))
+
+
+@query("incremental_labels")
+def _(spark, d):
+    labels = chain_labels(spark, d).newcomers
+    return labels.select("chain_id", F.col("id").alias("idx_news"), F.col("label").cast("bigint").alias("label"))
+
+
+@query("k_sqrt", f"""WITH {WINDOW_SQL} SELECT idx_news, greatest(2, CAST(floor(sqrt(n_members)) AS BIGINT)) AS k FROM schedule""")
+def _(spark, d):
+    rows = windows.eligible_anchors(article_clock(spark, d), LOOK)
+    return rows.select("idx_news", clusters.k_sqrt(F.col("n_members")).alias("k"))
+
+
+@query("kmeans")
+def _(spark, d):
+    out = clusters.kmeans(refit_points(spark, d), n_init=20)
+    return out.select("window", "k", "node", "label")
+
+
+@query("k_select")
+def _(spark, d):
+    _, chosen = clusters.k_select(refit_points(spark, d), "silhouette_score", range(2, 8), n_init=5)
+    return chosen.select("window", "k", r6("silhouette_score").alias("silhouette_score"))

@@ -39,6 +39,20 @@ def number_rows(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     )
 
 
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over this row and all rows before it."""
+    parted = _ranges(df.withColumn(name, value.cast("bigint")), order)
+    inside = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sums = parted.groupBy(PART).agg(F.sum(name).alias("_n"))
+    before = F.sum("_n").over(W.orderBy(PART)) - F.col("_n")
+    return (
+        parted.withColumn(name, F.sum(name).over(inside))
+        .join(F.broadcast(sums.select(PART, before.alias("_before"))), PART)
+        .withColumn(name, F.col(name) + F.col("_before"))
+        .drop("_before", PART)
+    )
+
+
 def previous_row(df: DataFrame, order: list[str], columns: dict[str, Column]) -> DataFrame:
     """Add ``columns`` (name -> expression) evaluated on the row before."""
     parted = _ranges(df, order)
