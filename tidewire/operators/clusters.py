@@ -20,10 +20,12 @@ from tidewire.functions.vectors import cosine_distance, euclidean_distance, sum_
 from tidewire.operators import kernels
 from tidewire.operators.ordering import number_rows
 from tidewire.operators.silhouette import silhouette
-from tidewire.operators.windows import Lookback, pair_blocks, window_blocks
+from tidewire.operators.windows import Lookback, block_counts, pair_blocks, window_blocks
 from tidewire.session import cut_lineage
 
 NOISE = -1
+# Points per block: a pair of blocks costs about 200 MB of distances in a task.
+BLOCK = 3072
 # Parameters used where a sweep finds nothing.
 DEFAULT_EPS, DEFAULT_SIZE_MIN, DEFAULT_K = 0.1, 5, 2
 # The eps grid of the headline run, 0.01 to below 1 in steps of 0.03.
@@ -40,9 +42,10 @@ def pair_distance(pairs: DataFrame, left: str, right: str, metric: str = "cosine
 
 
 def neighbour_counts(
-    points: DataFrame, grid: list[float], metric: str = "cosine", rows: int = 1024
+    points: DataFrame, grid: list[float], metric: str = "cosine", rows: int = BLOCK, counts: DataFrame | None = None
 ) -> DataFrame:
     """(window, node, deg[]): neighbours within each eps, the point included."""
+    counts = block_counts(points, ["window"], rows) if counts is None else counts
     order = np.argsort(grid)
     edges = np.asarray(grid)[order]
 
@@ -69,14 +72,14 @@ def neighbour_counts(
         }
 
     partial = kernels.per_group(
-        pair_blocks(points, ["window"], "node", rows), ["window", "lo", "hi"], count,
+        pair_blocks(points, ["window"], "node", counts), ["window", "lo", "hi"], count,
         "window bigint, lo bigint, hi bigint, node bigint, deg array<double>",
     )
     return partial.groupBy("window", "node").agg(sum_vector("deg", len(grid)).alias("deg"))
 
 
-def _links(cored: DataFrame, params: list[tuple[float, int]], metric: str, rows: int) -> DataFrame:
-    """(window, param, u, v, core): v is a core point in reach of u in one block pair.
+def _links(cored: DataFrame, params: list[tuple[float, int]], metric: str, counts: DataFrame) -> DataFrame:
+    """(window, lo, hi, param, u, v, core): v is a core point in reach of u in one block pair.
 
     Core points link to the first core point of their component inside the block
     pair: a spanning star and not the whole neighbourhood.
@@ -110,9 +113,9 @@ def _links(cored: DataFrame, params: list[tuple[float, int]], metric: str, rows:
         return {c: np.concatenate(v) for c, v in out.items()}
 
     return kernels.per_group(
-        pair_blocks(cored, ["window"], "node", rows), ["window", "lo", "hi"], link,
+        pair_blocks(cored, ["window"], "node", counts), ["window", "lo", "hi"], link,
         "window bigint, lo bigint, hi bigint, param int, u bigint, v bigint, core boolean",
-    ).drop("lo", "hi")
+    )
 
 
 def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,7 +150,7 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def density_roots(
-    points: DataFrame, params: Sequence[tuple[float, int]], metric: str = "cosine", rows: int = 1024
+    points: DataFrame, params: Sequence[tuple[float, int]], metric: str = "cosine", rows: int = BLOCK
 ) -> DataFrame:
     """(window, param, node, root) for core and border points; the rest is noise.
 
@@ -156,12 +159,20 @@ def density_roots(
     """
     params = list(params)
     grid = sorted({eps for eps, _ in params})
-    degrees = neighbour_counts(points, grid, metric, rows)
+    counts = block_counts(points, ["window"], rows)
+    degrees = neighbour_counts(points, grid, metric, rows, counts)
     core = F.array(*[F.col("deg")[grid.index(eps)] >= size for eps, size in params])
     cored = points.join(degrees.select("window", "node", core.alias("core")), ["window", "node"])
-    links = cut_lineage(_links(cored, params, metric, rows))
+    links = cut_lineage(_links(cored, params, metric, counts))
     keys = ["window", "param"]
-    roots = cut_lineage(connected_components(links.filter("core").select(*keys, "u", "v"), keys))
+    stars = links.filter("core").select(*keys, "u", "v")
+    whole = F.col("_parts") == 1
+    # Inside one block the stars are the components already.
+    roots = stars.join(counts.filter(whole).select("window"), "window", "left_semi").withColumnRenamed("v", "root")
+    cut_up = counts.filter(~whole).select("window")
+    if not cut_up.isEmpty():
+        merged = connected_components(stars.join(cut_up, "window", "left_semi"), keys)
+        roots = cut_lineage(roots.unionByName(merged))
     borders = (
         links.filter("NOT core")
         .join(roots.withColumnRenamed("u", "v"), keys + ["v"])
@@ -196,14 +207,14 @@ def _param_table(points: DataFrame, params: Sequence[tuple[float, int]]) -> Data
     return points.select("window").distinct().select("window", F.explode(grid).alias("p")).select("window", "p.*")
 
 
-def multi_eps(points: DataFrame, params: Sequence[tuple[float, int]], metric: str = "cosine", rows: int = 1024) -> DataFrame:
+def multi_eps(points: DataFrame, params: Sequence[tuple[float, int]], metric: str = "cosine", rows: int = BLOCK) -> DataFrame:
     """(window, param, node, label) for every (eps, size_min): nested densities."""
     points = cut_lineage(points)
     labelled = _numbered(density_roots(points, params, metric, rows))
     return _with_noise(points, labelled, _param_table(points, params))
 
 
-def dbscan(points: DataFrame, eps: float, size_min: int, metric: str = "cosine", rows: int = 1024) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, size_min: int, metric: str = "cosine", rows: int = BLOCK) -> DataFrame:
     """(window, node, label), -1 for noise; numbers follow the first core point."""
     return multi_eps(points, [(eps, size_min)], metric, rows).drop("param")
 
@@ -230,7 +241,7 @@ def cluster_counts(points: DataFrame, roots: DataFrame, params: Sequence[tuple[f
 
 def eps_sweep(
     points: DataFrame, range_eps: Iterable[float] = EPS_GRID, size_min: int = 5,
-    metric: str = "cosine", rows: int = 1024,
+    metric: str = "cosine", rows: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """Labels and chosen (window, param, eps, size_min, nb_cluster): most labels, first eps wins."""
     params = [(float(e), size_min) for e in range_eps] or [(DEFAULT_EPS, DEFAULT_SIZE_MIN)]
@@ -243,7 +254,7 @@ def eps_sweep(
 
 def silhouette_sweep(
     points: DataFrame, range_eps: Iterable[float], range_size_min: Iterable[int],
-    metric: str = "cosine", rows: int = 1024,
+    metric: str = "cosine", rows: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """As ``eps_sweep``, by the highest silhouette without noise; else the defaults."""
     sizes = list(range_size_min)
@@ -336,7 +347,7 @@ def _ballots(new: DataFrame, known: DataFrame, look: Lookback, metric: str, rows
 
 
 def incremental_labels(
-    fitted: DataFrame, newcomers: DataFrame, look: Lookback, metric: str = "cosine", rows: int = 1024
+    fitted: DataFrame, newcomers: DataFrame, look: Lookback, metric: str = "cosine", rows: int = BLOCK
 ) -> DataFrame:
     """(chain_id, id, t, embedding, label) of the articles that came after a fit.
 
@@ -427,7 +438,7 @@ def _nearest(points: DataFrame, centres: DataFrame, rows: int, labels: bool) ->
 
 def kmeans(
     points: DataFrame, ks: Sequence[int] | None = None, n_init: int = 20, max_iter: int = 100,
-    tol: float = 1e-4, rows: int = 1024,
+    tol: float = 1e-4, rows: int = BLOCK,
 ) -> DataFrame:
     """(window, k, node, label): Lloyd's method for all windows, k and restarts at once.
 

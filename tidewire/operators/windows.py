@@ -135,7 +135,7 @@ def _split(df: DataFrame, chain: str, rows: int, width: int) -> DataFrame:
 
 
 def window_blocks(
-    at: DataFrame, members: DataFrame, look: Lookback, chain: str = "chain_id", rows: int = 1024
+    at: DataFrame, members: DataFrame, look: Lookback, chain: str = "chain_id", rows: int = 2048
 ) -> DataFrame:
     """Anchor blocks beside the member blocks their windows can reach.
 
@@ -165,13 +165,17 @@ def window_blocks(
     )
 
 
-def pair_blocks(points: DataFrame, group: list[str], key: str, rows: int = 1024) -> DataFrame:
+def block_counts(points: DataFrame, group: list[str], rows: int) -> DataFrame:
+    """(group, _parts): number of hash blocks of about ``rows`` points."""
+    return small(points.groupBy(*group).agg(F.ceil(F.count("*") / rows).alias("_parts")))
+
+
+def pair_blocks(points: DataFrame, group: list[str], key: str, counts: DataFrame) -> DataFrame:
     """Points of each group under all pairs of hash blocks: key (group, lo, hi).
 
-    A block holds about ``rows`` points; no group, however large, reaches a task whole.
+    No group, however large, reaches a task whole.
     """
-    sizes = points.groupBy(*group).agg(F.ceil(F.count("*") / rows).alias("_parts"))
-    split = points.join(small(sizes), group).withColumn("block", F.pmod(F.xxhash64(key), F.col("_parts")))
+    split = points.join(counts, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("_parts")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_o")
     return (
         split.select("*", other)

@@ -52,9 +52,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if a count proves it has at most ``max_rows``.
+    """Store ``df`` and mark it for broadcast if it has at most ``max_rows`` rows.
 
-    Larger sides come back unmarked, so Spark joins them by shuffle.
+    The count and the broadcast read the stored rows, so the plan behind them runs
+    once. Larger sides come back unmarked and Spark joins them by shuffle.
     """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
