@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.functions.vectors import cosine_distance, euclidean_distance, sum_vector
+from tidewire.functions.vectors import cosine_distance, euclidean_distance
 from tidewire.operators import kernels
 from tidewire.operators.ordering import number_rows
 from tidewire.operators.silhouette import silhouette
@@ -75,7 +75,7 @@ def neighbour_counts(
         pair_blocks(points, ["window"], "node", counts), ["window", "lo", "hi"], count,
         "window bigint, lo bigint, hi bigint, node bigint, deg array<double>",
     )
-    return partial.groupBy("window", "node").agg(sum_vector("deg", len(grid)).alias("deg"))
+    return partial.groupBy("window", "node").agg(vector_to_array(Summarizer.sum(array_to_vector("deg"))).alias("deg"))
 
 
 def _links(cored: DataFrame, params: list[tuple[float, int]], metric: str, counts: DataFrame) -> DataFrame:
@@ -273,33 +273,10 @@ def silhouette_sweep(
     return _with_noise(points, labelled, chosen).drop("param"), chosen
 
 
-def adaptive_eps_grid(noise_free_eps: float, stop: float = 1.0) -> list[float]:
-    """The second stage of the adaptive search: up from ``eps`` in steps of a tenth of it."""
-    return list(np.arange(noise_free_eps, stop, noise_free_eps * 0.1))
-
-
-def adaptive_sweep(points: DataFrame, size_min: int = 5, metric: str = "cosine", depth: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Shrink eps by tens until a window is all noise, then scan up from there.
-
-    The first stage tries all powers in one job. Every window has its own start, so
-    windows that share it are swept together.
-    """
-    points = cut_lineage(points)
-    powers = [0.1 / 10**i for i in range(depth + 1)]
-    params = [(e, size_min) for e in powers]
-    counts = cluster_counts(points, density_roots(points, params, metric), params)
-    quiet = counts.filter("nb_cluster = 1").groupBy("window").agg(F.min("param").alias("start"))
-    start = points.select("window").distinct().join(quiet, "window", "left")
-    start = cut_lineage(start.withColumn("start", F.coalesce("start", F.lit(depth))))
-    labels, chosen = None, None
-    for i in range(depth + 1):
-        part = points.join(start.filter(F.col("start") == i), "window", "left_semi")
-        if part.isEmpty():
-            continue
-        found, best = eps_sweep(part, adaptive_eps_grid(powers[i]), size_min, metric)
-        labels = found if labels is None else labels.unionByName(found)
-        chosen = best if chosen is None else chosen.unionByName(best)
-    return labels, chosen
+def adaptive_eps_grid(all_noise_eps: float, stop: float = 1.0) -> list[float]:
+    """Grid of the adaptive search: from an eps at which a window is all noise, up in
+    steps of a tenth of it. ``eps_sweep`` runs it like any other grid."""
+    return np.arange(all_noise_eps, stop, all_noise_eps * 0.1).tolist()
 
 
 # --- labels that arrive one by one ----------------------------------------------
