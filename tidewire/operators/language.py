@@ -8,47 +8,59 @@ from pyspark.sql import functions as F
 from tidewire.session import cut_lineage, small
 
 
-def char_grams(c: Column, longest: int = 3) -> Column:
-    """All 1- to ``longest``-grams of the lower-cased text."""
-    chars = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
-    arrays = [chars]
-    for n in range(2, longest + 1):
-        # Shifted copies meet pairwise; past the end concat gives NULL.
-        shifted = F.slice(chars, n, F.greatest(F.size(chars), F.lit(1)))
-        arrays.append(F.zip_with(arrays[-1], shifted, lambda a, b: F.concat(a, b)))
-    return F.filter(F.concat(*arrays), lambda g: g.isNotNull())
+LONGEST = 3
+
+
+def _starts(c: Column) -> Column:
+    """The up to ``LONGEST`` characters that begin at each position.
+
+    Every n-gram is a prefix of exactly one of them, so rows stay one per character
+    until they are counted.
+    """
+    here = rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{1,{LONGEST}}}))"
+    return F.regexp_extract_all(F.lower(c), F.lit(here), F.lit(1))
+
+
+def _grams(start: str) -> Column:
+    prefixes = [F.when(F.length(start) >= n, F.substring(start, 1, n)) for n in range(1, LONGEST + 1)]
+    return F.explode(F.array_compact(F.array(*prefixes)))
 
 
 def train_languages(df: DataFrame, col: str, lang: str = "lang") -> DataFrame:
-    """(gram, scores map by language, unseen map): smoothed log probabilities.
+    """(gram, logp map by language): smoothed log probabilities, stored once.
 
-    The table grows with the alphabet and not with the corpus; it is stored once.
+    The table grows with the alphabet and not with the corpus.
     """
-    grams = df.select(F.col(lang).alias("lang"), F.explode(char_grams(F.col(col))).alias("gram"))
-    counts = cut_lineage(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")))
-    vocab = counts.select("gram").distinct().count()
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    grid = counts.select("gram").distinct().crossJoin(F.broadcast(totals))
-    scored = grid.join(counts, ["gram", "lang"], "left").withColumn(
-        "logp", F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + vocab))
-    )
-    model = scored.groupBy("gram").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "logp")))).alias("logp")
-    )
-    return cut_lineage(model)
+    starts = df.select(F.col(lang).alias("lang"), F.explode(_starts(F.col(col))).alias("start"))
+    starts = starts.groupBy("lang", "start").agg(F.count("*").alias("n"))
+    grams = starts.select("lang", _grams("start").alias("gram"), "n")
+    counts = cut_lineage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    by_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("seen"))
+    vocab = by_gram.count()
+
+    def logp(name: str) -> Column:
+        seen = F.coalesce(F.try_element_at("seen", F.lit(name)), F.lit(0))
+        return F.ln((seen + 1) / F.lit(float(totals[name] + vocab)))
+
+    entries = [x for name in sorted(totals) for x in (F.lit(name), logp(name))]
+    return cut_lineage(by_gram.select("gram", F.create_map(*entries).alias("logp")))
 
 
 def detect_language(df: DataFrame, model: DataFrame, key: str, col: str) -> DataFrame:
     """(key, detected): best language; texts without a known gram are absent.
 
-    With a broadcast model the grams meet it map-side and collapse to one sum
-    per row and language before the only shuffle.
+    The distinct character runs of the corpus are scored first. Against that small
+    table each text collapses to one sum per language before the only wide shuffle.
     """
-    langs = sorted(model.select(F.explode(F.map_keys("logp")).alias("l")).distinct().toPandas()["l"])
-    grams = df.select(key, F.explode(char_grams(F.col(col))).alias("gram"))
-    scored = grams.join(small(model), "gram").groupBy(key).agg(
-        *[F.sum(F.col("logp")[lang]).alias(lang) for lang in langs]
+    langs = sorted(r["l"] for r in model.select(F.explode(F.map_keys("logp")).alias("l")).distinct().collect())
+    starts = df.select(key, F.explode(_starts(F.col(col))).alias("start"))
+    sums = [F.sum(F.col("logp")[lang]).alias(lang) for lang in langs]
+    scores = (
+        starts.select("start").distinct().select("start", _grams("start").alias("gram"))
+        .join(model, "gram").groupBy("start").agg(*sums)
     )
+    scored = starts.join(small(scores), "start").groupBy(key).agg(*[F.sum(lang).alias(lang) for lang in langs])
     # Equal scores go to the alphabetically first language.
     ranked = F.array(*[F.struct((-F.col(lang)).alias("s"), F.lit(lang).alias("lang")) for lang in langs])
     return scored.select(key, F.array_min(ranked)["lang"].alias("detected"))

@@ -33,12 +33,12 @@ def lemmatize(
     up to the final collection, which is bounded by the length of one text.
     """
     stops = list(stop_words)
-    tokens = df.select(key, F.posexplode(F.split(F.col(col), " ")).alias("i", "token"))
-    kept = tokens.filter((F.col("token") != "") & ~F.col("token").isin(stops))
-    joined = kept.join(small(lemmas), "token", "left").withColumn("t", F.coalesce("lemma", "token"))
-    ordered = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("ts"))
-    texts = ordered.select(key, F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("lemmas"))
-    return df.select(key).join(texts, key, "left").withColumn("lemmas", F.coalesce("lemmas", F.lit("")))
+    tokens = df.select(key, F.posexplode_outer(F.split(F.col(col), " ")).alias("i", "token"))
+    joined = tokens.join(small(lemmas), "token", "left").withColumn("t", F.coalesce("lemma", "token"))
+    # NULLs are not collected: a text without any kept token still has its row.
+    kept = F.when((F.col("token") != "") & ~F.col("token").isin(stops), F.struct("i", "t"))
+    ordered = joined.groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("ts"))
+    return ordered.select(key, F.array_join(F.col("ts.t"), " ").alias("lemmas"))
 
 
 def prepare_embedding_text(
