@@ -75,20 +75,16 @@ def score_text(
 def _words(df: DataFrame, key: str, col: str) -> DataFrame:
     """(key, words, mark): words without outer punctuation, punctuation emphasis."""
     body = text.squeeze(F.coalesce(F.lower(F.col(col)), F.lit("")))
-    pieces = F.filter(F.split(body, " "), lambda t: t != "")
-    outer = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
-
-    def bare(t: Column) -> Column:
-        # Short remains are emoticons and keep their signs.
-        cut = F.regexp_replace(t, outer, "")
-        return F.when(F.length(cut) <= 2, t).otherwise(cut)
-
+    # Only words that keep three or more signs are cut: short ones are emoticons.
+    sign = r"!-/:-@\[-`{-~"
+    outer = rf"(?<![^ ])[{sign}]*([^{sign} ][^ ]+[^{sign} ])[{sign}]*(?![^ ])"
+    words = F.split(F.regexp_replace(body, outer, "$1"), " ")
     shouts = F.least(F.regexp_count(F.col(col), F.lit("!")), F.lit(4)) * 0.292
     asks = F.regexp_count(F.col(col), F.lit(r"\?"))
     doubts = F.when(asks > 3, 0.96).when(asks > 1, asks * 0.18).otherwise(0.0)
     return df.select(
         key,
-        F.transform(pieces, bare).alias("words"),
+        F.when(body != "", words).otherwise(F.array().cast("array<string>")).alias("words"),
         F.coalesce(shouts + doubts, F.lit(0.0)).alias("mark"),
     )
 
@@ -113,20 +109,17 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, col: str) ->
     movers = INTENSIFIERS + DAMPENERS
     terms = small(lexicon.filter(~F.col("term").isin(movers)).select("term", "valence"))
     words = _words(df, key, col)
-    placed = words.select(
-        key,
-        (F.array_position("words", "but") - 1).alias("but_at"),
-        F.explode(
-            F.transform(
-                "words",
-                lambda t, i: F.struct(
-                    i.alias("i"),
-                    t.alias("term"),
-                    *[F.when(i >= k, F.get("words", i - k)).alias(f"p{k}") for k in (1, 2, 3)],
-                ),
-            )
-        ).alias("w"),
-    ).select(key, "but_at", "w.*")
+    # The words moved along by one to three places sit beside the words.
+    none = F.lit(None).cast("string")
+    before = {
+        f"p{k}": F.slice(F.concat(F.array_repeat(none, k), "words"), F.lit(1), F.size("words")) for k in (1, 2, 3)
+    }
+    placed = (
+        words.withColumn("but_at", F.array_position("words", "but") - 1)
+        .withColumns({"term": F.col("words"), **before})
+        .select(key, "but_at", F.posexplode(F.arrays_zip("term", *before)).alias("i", "w"))
+        .select(key, "but_at", "i", "w.*")
+    )
     hits = placed.join(terms, "term")
     for k in (1, 2, 3):
         known = terms.select(F.col("term").alias(f"p{k}"), F.lit(True).alias(f"known{k}"))
