@@ -102,7 +102,7 @@ def _(spark, d):
 @query("multi_eps", f"""WITH RECURSIVE {DBSCAN_SQL} SELECT win AS "window", param, node, label FROM labelled""")
 def _(spark, d):
     out = clusters.multi_eps(refit_points(spark, d), [(e, SIZE_MIN) for e in GRID])
-    return out.select("window", F.col("param").cast("bigint").alias("param"), "node", F.col("label").cast("bigint").alias("label"))
+    return out.select("window", "param", "node", F.col("label").cast("bigint").alias("label"))
 
 
 @query("eps_sweep", f"""WITH RECURSIVE {DBSCAN_SQL},
