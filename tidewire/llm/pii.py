@@ -191,7 +191,7 @@ def score(candidate: Column, weights: dict) -> Column:
     return total
 
 
-def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:
     """``keep`` with ``base`` and ``spans``: arrays of (start, rank, end), rank into KINDS.
 
     Base spans always stay; the classifier adds the other candidates it believes. Places
