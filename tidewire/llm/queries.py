@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat, lz_dedup, packing, pii, quality, sharding, suffix_dedup, vectors
+from tidewire.llm import chat, lz_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup, vectors
 from tidewire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"), 0.98).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"), 75, 5).select("doc_id", "n_shingles", "component_id")

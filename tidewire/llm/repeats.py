@@ -145,9 +145,10 @@ def repeats(docs: DataFrame, shape: Shape, ordered: bool, compare: Callable) ->
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
     every = store(contexts(keyed, shape))
-    twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored, so that both sides of the join are plain exchanges, which Spark can split.
+    twice = store(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     shared = store(every.join(twice, "anchor"))
-    discard(every)
+    discard(every, twice)
     kinds = store(
         shared.groupBy("anchor", "context").agg(
             F.count("*").alias("times"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "at")).alias("one")
@@ -166,7 +167,7 @@ def repeats(docs: DataFrame, shape: Shape, ordered: bool, compare: Callable) ->
     open_ = store(open_)
     discard(shared, kinds)
     fine = store(refined(keyed, open_, shape))
-    groups = fine.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    groups = store(fine.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     small, hot = groups.where(F.col("n") <= HOT).select("anchor"), groups.where(F.col("n") > HOT).select("anchor")
     tasks = max(partitions(spark), math.ceil(fine.count() / TASK))
     block = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("block")
@@ -180,7 +181,7 @@ def repeats(docs: DataFrame, shape: Shape, ordered: bool, compare: Callable) ->
 
     grouped = fine.join(small, "anchor").select("*", block).groupBy("block").applyInArrow(lambda t: run(t), "doc_id long, at long")
     found = store(whole.unionByName(grouped).unionByName(_by_window(fine.join(hot, "anchor"), shape, ordered)))
-    discard(fine, open_, whole)
+    discard(fine, open_, whole, groups)
     return found.select("doc_id", F.expr(CHECK).alias("check"), F.expr(LOW).alias("low"), F.expr(COUNT).alias("count"))
 
 
