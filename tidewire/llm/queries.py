@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat, lz_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup, vectors
+from tidewire.llm import chat, lz_dedup, ngram_join, packing, pieces, pii, quality, sharding, suffix_dedup, vectors
 from tidewire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), 75, 5).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
