@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,13 +14,20 @@ from tidewire.llm.common import SPACE, discard, let, store, words_of
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 
+Get = Callable[[str], Column]
+
+
+def _per_word(count: str) -> Callable[[Get], Column]:
+    return lambda get: get(count) / F.greatest(get("n_words"), F.lit(1))
+
+
 #: What conditions may look at: name -> expression over the counts.
-FEATURES = {
-    "n_words": "n_words",
-    "mean_word": "word_chars / greatest(n_words, 1)",
-    "symbol_share": "n_symbols / greatest(n_words, 1)",
-    "dup_lines": "n_dup_lines",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+FEATURES: dict[str, Callable[[Get], Column]] = {
+    "n_words": lambda get: get("n_words"),
+    "mean_word": _per_word("word_chars"),
+    "symbol_share": _per_word("n_symbols"),
+    "dup_lines": lambda get: get("n_dup_lines"),
+    "repeat_share": _per_word("n_repeat_words"),
 }
 
 
@@ -29,8 +37,9 @@ class Condition:
     above: bool
     cut: float
 
-    def sql(self) -> str:
-        return f"{FEATURES[self.feature]} {'>' if self.above else '<='} {self.cut!r}D"
+    def test(self, get: Get) -> Column:
+        value = FEATURES[self.feature](get)
+        return value > self.cut if self.above else value <= self.cut
 
 
 Rule = tuple[Condition, ...]
@@ -58,8 +67,11 @@ def _repeated(windows: Column) -> Column:
     return let(ordered, covered)
 
 
-def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` with the counts of every whole text, row by row and without a shuffle."""
+def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: list[Rule] | None = None) -> DataFrame:
+    """``keep`` with the counts of every whole text, row by row and without a shuffle.
+
+    With ``rules`` also base_failed and kept.
+    """
     text = F.coalesce("text", F.lit(""))
 
     def counts(words: Column) -> Column:
@@ -80,19 +92,23 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     # Words and windows are bound inside the expression: however the optimizer moves it,
     # a text is split once per evaluation.
-    return docs.select(*keep, let(words_of(F.col("text")), counts).alias("_counts")).select(*keep, "_counts.*")
+    made = let(words_of(F.col("text")), counts)
+    if rules is not None:
+        made = let(made, lambda c: c.withField("base_failed", base_failed(c.getItem)).withField("kept", ~base_failed(c.getItem) & ~matches(rules, c.getItem)))
+    return docs.select(*keep, made.alias("_counts")).select(*keep, "_counts.*")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(get: Get = F.col) -> Column:
+    return (get("n_words") < 20) | (100 * get("n_repeat_words") > 30 * get("n_words"))
 
 
-def matches(rules: list[Rule]) -> Column:
+def matches(rules: list[Rule], get: Get = F.col) -> Column:
     """Whether a rule of the list fires: the list as ordered conditional expressions."""
-    if not rules:
-        return F.lit(False)
-    tests = [" AND ".join(c.sql() for c in rule) for rule in rules]
-    return F.expr("CASE " + " ".join(f"WHEN {t} THEN true" for t in tests) + " ELSE false END")
+    out = None
+    for rule in rules:
+        test = reduce(lambda a, b: a & b, [c.test(get) for c in rule])
+        out = F.when(test, True) if out is None else out.when(test, True)
+    return F.lit(False) if out is None else out.otherwise(False)
 
 
 def learn(
@@ -129,7 +145,7 @@ def learn(
         counted.where(~base_failed()).select(
             "*",
             (F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(3)) == 0).alias("_held"),
-            *[F.expr(f"cast({e} as double)").alias(f"_{f}") for f, e in FEATURES.items()],
+            *[e(F.col).cast("double").alias(f"_{f}") for f, e in FEATURES.items()],
         )
     )
     spread = [q / bins for q in range(1, bins)]
@@ -218,6 +234,4 @@ def judge(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",
     empty text has no words and fails. Rows with one doc_id are judged one by one;
     columns not in ``keep`` are left out. Word windows are compared by 64-bit hashes.
     """
-    return measure(docs, keep).withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & ~matches(rules)
-    )
+    return measure(docs, keep, rules)
