@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import symbols as sym
-from tidewire.llm.common import discard, store
+from tidewire.llm.common import discard, partitions, store
 from tidewire.llm.graph import components
 
 U = np.uint64
-#: Smallest shingle hashes by which documents meet. Of two documents with Jaccard s the
-#: smallest hash of their union is common with chance s, and so on: they share none of
-#: these with a chance of (1 - s)^24, 4e-15 at 0.75.
-MEET = 24
+NEVER = np.iinfo(np.int64).max
+#: Smallest shingle hashes by which documents meet, and how many of them a pair must share.
+#: Each of the smallest hashes of a union is common with a chance of the Jaccard index: at
+#: 0.75, of 48 fewer than 11 are with a chance of 6e-15, as rare as two equal 64-bit hashes
+#: among a hundred pairs of documents. Sets of fewer shingles must share 3/4 of them.
+MEET, LEAST = 48, 11
 #: Documents of one tile that are compared in a task with those of one other block.
 BLOCK = 512
 
@@ -50,8 +52,8 @@ def _name(hashes: np.ndarray) -> int:
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    """About four bits an element, a power of two in all."""
-    bits = 1 << max(6, min(17, math.ceil(math.log2(4 * len(hashes)))))
+    """Two to four bits an element, a power of two in all."""
+    bits = 1 << max(6, min(17, math.ceil(math.log2(2 * len(hashes)))))
     out = np.zeros(bits // 8, dtype=np.uint8)
     at = (hashes & U(bits - 1)).astype(np.int64)
     np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
@@ -136,12 +138,33 @@ def tiles(shared: DataFrame, percent: int) -> DataFrame:
     return own.withColumn("t", F.explode(sides)).select("token", "t.band", "t.upper", "node", "size")
 
 
-def candidates(tiled: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of different roots whose bitmaps allow a link.
+def meeting_points(nodes: DataFrame, percent: int) -> DataFrame:
+    """node, size, key, need, known: the hashes by which a set may meet another, rarest first.
+
+    Hashes of one set only are left out. A linked pair shares at least ``need`` hashes, so
+    its rarest common one is not among the ``need - 1`` last of either set: sets do not
+    meet by these, which are most of what frequent passages have in common. A set with fewer
+    than ``need`` hashes left in common with any others links with none.
+    """
+    posted = nodes.select("node", F.explode("low").alias("token"))
+    twice = store(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    known = posted.join(twice, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("known"))
+    need = F.least(F.lit(LEAST), F.ceil(F.col("size") * percent / 100)).cast("int")
+    out = store(
+        nodes.join(known, "node").withColumn("need", need).where(F.size("known") >= F.col("need"))
+        .select("node", "size", "key", "need", F.col("known.token").alias("known"))
+    )
+    discard(twice)
+    return out
+
+
+def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different roots that share enough hashes and whose bitmaps allow a link.
 
     In each tile the members of the most frequent root stand against the rest; blocks of the
-    rest meet all blocks, so a large settled group costs nothing. ``best``: each row gives
-    only its best partner, at most one a task; otherwise all pairs.
+    rest meet all blocks, so a large settled group costs nothing. A pair is looked at in the
+    tile of its smallest common hash alone. ``best``: each set gives only its most promising
+    partner; otherwise all pairs.
     """
     keys = ["token", "band"]
     known = tiled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -155,40 +178,68 @@ def candidates(tiled: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     side = F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int")
     as_any = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda r: F.struct(r.alias("left"), own.alias("right"), F.lit(False).alias("first")))
     as_rest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(side.alias("left"), b.alias("right"), F.lit(True).alias("first")))
-    placed = split.withColumn("p", F.explode(F.concat(as_any, F.when(F.col("rest"), as_rest).otherwise(F.array().cast("array<struct<left:int,right:int,first:boolean>>")))))
-    full = placed.select(*keys, "upper", "node", "size", "root", "p.*").join(sets.select("node", "bits"), "node")
+    none = F.array().cast("array<struct<left:int,right:int,first:boolean>>")
+    placed = split.withColumn("p", F.explode(F.concat(as_any, F.when(F.col("rest"), as_rest).otherwise(none))))
+    full = placed.select(*keys, "upper", "node", "size", "root", "p.*").join(signs, "node")
+    # Many tiles share a task; one tile's pair of blocks is never split.
+    tile = F.xxhash64(*keys, "left", "right")
+    dealt = full.withColumn("tile", tile).withColumn("task", F.pmod(tile, F.lit(16 * partitions(tiled.sparkSession))))
 
     def compare(table):
-        node, size, root = (table.column(c).to_numpy() for c in ("node", "size", "root"))
+        names = ("token", "node", "size", "root", "need", "tile")
+        token, node, size, root, need, tiles_ = (table.column(c).to_numpy() for c in names)
         upper, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("upper", "first"))
-        left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            bits = _folded(table.column("bits").to_pylist())
-            weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        bitmaps, lists = table.column("bits").to_pylist(), table.column("known").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        places = np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends))
+        meets = places <= np.repeat(np.diff(ends) - need, np.diff(ends))
+        order = np.argsort(tiles_, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, tiles_[order][1:] != tiles_[order][:-1]])
+        out_a, out_b, out_s = [], [], []
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            rows = order[x:y]
+            left, right = rows[first[rows]], rows[~first[rows]]
+            if not len(left) or not len(right) or (root[rows] == root[rows[0]]).all():
+                continue
+            count = (ends[right + 1] - ends[right]).astype(np.int64)
+            index = np.arange(count.sum()) + np.repeat(ends[right] - (np.cumsum(count) - count), count)
+            theirs, owner = flat[index], np.repeat(np.arange(len(right)), count)
             for i in left.tolist():
-                j = right[(root[right] != root[i]) & ~(upper[right] & upper[i])]
-                small = np.minimum(size[j], size[i])
-                j = j[100 * small >= percent * np.maximum(size[j], size[i])]
+                mine = flat[ends[i] : ends[i + 1]]
+                sort = np.argsort(mine)
+                mine, met = mine[sort], meets[ends[i] : ends[i + 1]][sort]
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                same = mine[at] == theirs
+                shared = np.bincount(owner[same], minlength=len(right))
+                lowest = np.full(len(right), NEVER)
+                both = same & met[at] & meets[index]
+                np.minimum.at(lowest, owner[both], theirs[both])
+                able = (shared >= np.minimum(need[i], need[right])) & (lowest == token[i])
+                able &= (root[right] != root[i]) & ~(upper[right] & upper[i])
+                able &= 100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])
+                j = right[able]
                 if not len(j):
                     continue
-                meet = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64)
+                bits = _folded([bitmaps[i], *[bitmaps[r] for r in j.tolist()]])
+                weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+                meet = np.bitwise_count(bits[1:] & bits[0]).sum(axis=1).astype(np.int64)
                 # A bit that only one has stands for an element that only it has.
-                most = np.minimum(size[i] - (weight[i] - meet), size[j] - (weight[j] - meet))
+                most = np.minimum(size[i] - (weight[0] - meet), size[j] - (weight[1:] - meet))
                 ok = (100 + percent) * most >= percent * (size[i] + size[j])
-                j, most = j[ok], most[ok]
+                j, score = j[ok], (most[ok] / (size[j[ok]] + size[i]))
                 if best and len(j):
-                    j = j[[int(np.lexsort((node[j], -most / (size[j] + size[i])))[0])]]
+                    k = [int(np.lexsort((node[j], -score))[0])]
+                    j, score = j[k], score[k]
                 out_a.append(np.full(len(j), node[i]))
                 out_b.append(node[j])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, dtype=np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, dtype=np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                out_s.append(score)
+        a, b = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (out_a, out_b))
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "score": pa.array(np.concatenate(out_s) if out_s else np.zeros(0))})
 
-    found = full.groupBy(*keys, "left", "right").applyInArrow(lambda t: compare(t), "a long, b long")
-    if best:  # over all tiles, each first node's first choice
-        return found.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    return found.distinct()
+    found = dealt.groupBy("task").applyInArrow(lambda t: compare(t), "a long, b long, score double")
+    if best:
+        return found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
@@ -199,7 +250,7 @@ def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     and is its own component. Two sets link from ``percent`` of their union in common.
     Equal sets fall together first, so copies never meet in pairs.
 
-    Sets meet through their smallest hashes (``MEET``), in tiles of one hash and one band of
+    Sets meet through their smallest hashes (``meeting_points``), in tiles of one hash and one band of
     sizes. A first round links each set with its tile's first one, where they meet most
     often; a second lets every set still apart offer its best partner; the last one checks
     all pairs of different components whose bitmaps allow a link. So groups of near copies
@@ -213,22 +264,24 @@ def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
             F.min("doc_id").alias("key"), F.first("size").alias("size"), F.first("low").alias("low")
         )
     )
-    posted = nodes.select("node", "size", F.explode("low").alias("token"))
+    meeting = meeting_points(nodes, percent)
+    discard(nodes)
+    posted = meeting.select("node", "size", F.explode(F.slice("known", F.lit(1), F.size("known") - F.col("need") + 1)).alias("token"))
     twice = store(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"))
-    shared = store(posted.join(twice, "token"))
-    met = shared.select("node").distinct()
-    sets = store(sets_of(docs, nodes.join(met, "node").select("node", F.coalesce("key", F.lit(2**63 - 1)).alias("key")), n))
+    tiled = store(tiles(posted.join(twice, "token"), percent))
+    met = tiled.select("node").distinct()
+    sets = store(sets_of(docs, meeting.join(met, "node").select("node", F.coalesce("key", F.lit(2**63 - 1)).alias("key")), n))
+    signs = store(sets.select("node", "bits").join(meeting.select("node", "need", "known"), "node"))
     discard(twice)
-    tiled = store(tiles(shared, percent))
-    discard(shared)
     first = tiled.where("not upper").groupBy("token", "band").agg(F.min("node").alias("b"))
     meetings = tiled.join(first, ["token", "band"]).where("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
-    chosen = meetings.where(F.col("n") >= MEET // 4).groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    chosen = meetings.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).where("m.n > 3").select("a", F.col("m.b").alias("b"))
     links = store(verified(store(chosen), sets, percent))
     for best in (True, False):
         roots = components(links)
-        found = store(candidates(tiled, roots, sets, percent, best))
+        found = store(candidates(tiled, roots, signs, percent, best))
         links = store(links.unionByName(verified(found, sets, percent)))
+        discard(found)
     roots = components(links)
     labelled = rows.join(roots, "node", "left").select("doc_id", "size", "node", F.coalesce("root", "node").alias("root"))
     labelled = store(labelled)
@@ -236,7 +289,7 @@ def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     out = labelled.join(lowest, "root", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id")
     )
-    discard(rows, nodes, tiled, sets)
+    discard(rows, meeting, tiled, sets, signs)
     return out
 
 
