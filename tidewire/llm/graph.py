@@ -21,11 +21,11 @@ def components(links: DataFrame) -> DataFrame:
     now = store(
         links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct()
     )
-    while True:
+    while not _stars(now):
         # Large step: all neighbours, the larger ones move.
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = both.where("u > v").join(lowest, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
+        lowest = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        large = both.where("u > v").join(lowest, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v")
         # Small step: smaller neighbours move, and the node itself.
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (
@@ -34,15 +34,20 @@ def components(links: DataFrame) -> DataFrame:
             .select("e.v", "e.u").where("u < v").distinct()
         )
         after = store(small)
-        same = now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty()
         discard(now)
         now = after
-        if same:
-            break
     roots = now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs itself."""
+    ends = links.select(F.col("v").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        links.select(F.col("u").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1").isEmpty()
+
+
 class Forest:
     """Components of bounded blocks inside a task, joined by whole arrays of links."""
 

@@ -158,6 +158,29 @@ def meeting_points(nodes: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _common(rows, lefts, first, ends, flat, meets, token) -> tuple[np.ndarray, np.ndarray]:
+    """For each left and right row of a tile: hashes in common, and those of them at which the
+    two would have met in an earlier tile."""
+    rows = np.concatenate([rows[first[rows]], rows[~first[rows]]])
+    count = (ends[rows + 1] - ends[rows]).astype(np.int64)
+    index = np.arange(count.sum()) + np.repeat(ends[rows] - (np.cumsum(count) - count), count)
+    values, column, times = np.unique(flat[index], return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(rows)), count)
+    held = times > 1
+    number = np.cumsum(held) - 1
+    ok = held[column]
+    row, column, early = row[ok], number[column[ok]], (meets[index] & (flat[index] < token))[ok]
+    shape = (lefts, len(rows) - lefts)
+    shared, lower = np.zeros(shape, dtype=np.float32), np.zeros(shape, dtype=np.float32)
+    for at in range(0, int(held.sum()), 4096):
+        part = (column >= at) & (column < at + 4096)
+        for out, chosen in ((shared, part), (lower, part & early)):
+            grid = np.zeros((len(rows), min(4096, int(held.sum()) - at)), dtype=np.float32)
+            grid[row[chosen], column[chosen] - at] = 1
+            out += grid[:lefts] @ grid[lefts:].T
+    return shared, lower
+
+
 def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of different roots that share enough hashes and whose bitmaps allow a link.
 
@@ -183,7 +206,7 @@ def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: in
     full = placed.select(*keys, "upper", "node", "size", "root", "p.*").join(signs, "node")
     # Many tiles share a task; one tile's pair of blocks is never split.
     tile = F.xxhash64(*keys, "left", "right")
-    dealt = full.withColumn("tile", tile).withColumn("task", F.pmod(tile, F.lit(16 * partitions(tiled.sparkSession))))
+    dealt = full.withColumn("tile", tile).withColumn("task", F.pmod(tile, F.lit(4 * partitions(tiled.sparkSession))))
 
     def compare(table):
         names = ("token", "node", "size", "root", "need", "tile")
@@ -201,38 +224,36 @@ def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: in
             left, right = rows[first[rows]], rows[~first[rows]]
             if not len(left) or not len(right) or (root[rows] == root[rows[0]]).all():
                 continue
-            count = (ends[right + 1] - ends[right]).astype(np.int64)
-            index = np.arange(count.sum()) + np.repeat(ends[right] - (np.cumsum(count) - count), count)
-            theirs, owner = flat[index], np.repeat(np.arange(len(right)), count)
-            for i in left.tolist():
-                mine = flat[ends[i] : ends[i + 1]]
-                sort = np.argsort(mine)
-                mine, met = mine[sort], meets[ends[i] : ends[i + 1]][sort]
-                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                same = mine[at] == theirs
-                shared = np.bincount(owner[same], minlength=len(right))
-                lowest = np.full(len(right), NEVER)
-                both = same & met[at] & meets[index]
-                np.minimum.at(lowest, owner[both], theirs[both])
-                able = (shared >= np.minimum(need[i], need[right])) & (lowest == token[i])
-                able &= (root[right] != root[i]) & ~(upper[right] & upper[i])
-                able &= 100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])
-                j = right[able]
-                if not len(j):
-                    continue
-                bits = _folded([bitmaps[i], *[bitmaps[r] for r in j.tolist()]])
-                weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-                meet = np.bitwise_count(bits[1:] & bits[0]).sum(axis=1).astype(np.int64)
-                # A bit that only one has stands for an element that only it has.
-                most = np.minimum(size[i] - (weight[0] - meet), size[j] - (weight[1:] - meet))
-                ok = (100 + percent) * most >= percent * (size[i] + size[j])
-                j, score = j[ok], (most[ok] / (size[j[ok]] + size[i]))
-                if best and len(j):
-                    k = [int(np.lexsort((node[j], -score))[0])]
-                    j, score = j[k], score[k]
-                out_a.append(np.full(len(j), node[i]))
-                out_b.append(node[j])
-                out_s.append(score)
+            able = root[left][:, None] != root[right][None, :]
+            able &= ~(upper[left][:, None] & upper[right][None, :])
+            small, large = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+            able &= 100 * small >= percent * large
+            if not able.any():
+                continue
+            shared, lower = _common(rows, len(left), first, ends, flat, meets, token[rows[0]])
+            able &= (shared >= np.minimum.outer(need[left], need[right])) & (lower == 0)
+            p, q = np.nonzero(able)
+            if not len(p):
+                continue
+            i, j = left[p], right[q]
+            own, place = np.unique(np.r_[i, j], return_inverse=True)
+            bits = _folded([bitmaps[r] for r in own.tolist()])
+            weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+            u, v = place[: len(i)], place[len(i) :]
+            meet = np.concatenate([
+                np.bitwise_count(bits[u[c : c + 4096]] & bits[v[c : c + 4096]]).sum(axis=1) for c in range(0, len(u), 4096)
+            ]).astype(np.int64)
+            # A bit that only one has stands for an element that only it has.
+            most = np.minimum(size[i] - (weight[u] - meet), size[j] - (weight[v] - meet))
+            ok = (100 + percent) * most >= percent * (size[i] + size[j])
+            i, j, score = i[ok], j[ok], most[ok] / (size[i[ok]] + size[j[ok]])
+            if best and len(i):
+                by = np.lexsort((node[j], -score, i))
+                by = by[np.r_[True, i[by][1:] != i[by][:-1]]]
+                i, j, score = i[by], j[by], score[by]
+            out_a.append(node[i])
+            out_b.append(node[j])
+            out_s.append(score)
         a, b = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (out_a, out_b))
         return pa.table({"a": pa.array(a), "b": pa.array(b), "score": pa.array(np.concatenate(out_s) if out_s else np.zeros(0))})
 
