@@ -65,8 +65,12 @@ def first_texts(df: DataFrame, col: str = "title_desc", key: str = "idx_news") -
 
 
 def first_times(df: DataFrame, col: str = "date", key: str = "idx_news") -> DataFrame:
-    """Keys of the first row of every distinct time, lowest key first."""
-    return df.groupBy(col).agg(F.min(key).alias(key)).select(key)
+    """Keys of the first row of every distinct time, lowest key first.
+
+    A row without a readable time equals no other and stays.
+    """
+    untimed = F.when(F.col(col).isNull(), F.col(key))
+    return df.groupBy(col, untimed.alias("_untimed")).agg(F.min(key).alias(key)).select(key)
 
 
 def dedupe_text(df: DataFrame, col: str = "title_desc", key: str = "idx_news") -> DataFrame:

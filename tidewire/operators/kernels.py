@@ -50,7 +50,9 @@ def vectors(rows: np.ndarray) -> pa.Array:
 def per_group(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
     """Run ``fn(key values, table) -> {column: values}`` on each bounded group.
 
-    The key columns are repeated in front of the returned ones.
+    The key columns are repeated in front of the returned ones. Rows are exchanged on all
+    keys: a coarser partitioning left over from a join would put all blocks of a window into
+    one task, and the halves of a union need not agree on one.
     """
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -62,7 +64,7 @@ def per_group(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> Data
         arrays.update({c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in out.items()})
         return pa.table({c: arrays[c] for c in names})
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    return df.repartition(*keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def local_components(adjacent: np.ndarray) -> np.ndarray:
