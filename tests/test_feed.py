@@ -11,17 +11,18 @@ RAW = "idx_news long, date string, url string, author string, title string, subt
 
 def test_clean_feed(spark):
     rows = [
-        (0, "2024-01-01 00:00:02", "u", "Cointelegraph by A B", "Big ", "<p> News </p>"),
+        (0, "2024-01-01 00:00:02", "u", "Wire desk by A B", "Big ", "<p> News </p>"),
         (1, "2024-01-01 00:00:01", "u", None, "big", "news!"),
         (2, "2024-01-01 00:00:01", "u", "C", "Other", "x"),
         (3, "2024-01-01 00:00:01", "u", "C", "Third", "x"),
         (4, "2024-01-01 00:00:03", "u", "C", None, "x"),
     ]
-    out = news_feed.clean(spark.createDataFrame(rows, RAW)).orderBy("idx_news").collect()
+    out = news_feed.clean(
+        spark.createDataFrame(rows, RAW), source="Wire desk", author_prefixes=["Wire desk by"]).orderBy("idx_news").collect()
     # Row 1 is the text of row 0 but for the space; rows 2 and 3 share its time.
     assert [(r["idx_news"], r["title_desc"], r["author"]) for r in out] == [
         (0, "big news", " A B"), (1, "bignews", None), (4, "", "C")]
-    assert {r["source"] for r in out} == {"Cointelegraph"}
+    assert {r["source"] for r in out} == {"Wire desk"}
     with pytest.raises(TypeError):
         feed.clean_feed(spark.range(1), 3)
 

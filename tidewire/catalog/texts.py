@@ -329,27 +329,3 @@ def _(spark, d):
     lexicon = sentiment.lexicon_from_labels(docs, table(spark, d, "labels"), "quality")
     out = sentiment.lexicon_sentiment(docs, lexicon, "doc_id", "text")
     return out.withColumn("feat_sent_compound", F.col("feat_sent_compound") + F.lit(0.0))
-
-
-def length_scorer():
-    """A stand-in model: logits from plain counts of the text."""
-    import numpy as np
-
-    def score(texts):
-        words = np.array([len(t.split()) for t in texts], dtype="float64")
-        marks = np.array([sum(not (c.isalnum() or c.isspace()) for c in t) for t in texts], dtype="float64")
-        share = marks / np.maximum(words, 1.0)
-        return np.stack([share, np.ones_like(share), 1.0 - share], axis=1)
-
-    return score
-
-
-@query("score_batch")
-def _(spark, d):
-    feed = news(spark, d).select("idx_news", "title_desc")
-    models = {
-        "TwitterRoberta": sentiment.batch_model(length_scorer, sentiment.LABEL_ORDERS["TwitterRoberta"]),
-        "FinBert": sentiment.batch_model(length_scorer, sentiment.LABEL_ORDERS["FinBert"]),
-    }
-    out = sentiment.score_feed(feed, "title_desc", models)
-    return out.select("idx_news", "sent_model", *[r6(c).alias(c) for c in out.columns if c.startswith("feat_sent")])

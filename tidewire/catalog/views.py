@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewire.catalog.registry import table
 
-AUTHOR_PREFIX = "Cointelegraph by"
-SOURCE = "Cointelegraph"
+AUTHOR_PREFIX = "Wire desk by"
+SOURCE = "Wire desk"
 
 
 def clock_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

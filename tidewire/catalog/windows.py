@@ -10,14 +10,25 @@ from tidewire.operators import clusters, windows
 from tidewire.operators.silhouette import silhouette
 from tidewire.operators.windows import Lookback
 
-LOOK = Lookback(days=7, horizon=30, min_news=231)
+DAYS, HORIZON = 7, 30
+# A window is eligible with 99 % of the articles that an average one has.
+MIN_NEWS_SQL = f"""(SELECT CAST(count(*) AS HUGEINT) * {99 * DAYS * windows.MICROS_PER_DAY}
+  // (100 * (epoch_us(max(date)) - epoch_us(min(date)))) FROM news)"""
+
+
+def look(spark, d) -> Lookback:
+    """The lookback with the number of articles it needs, taken from the data."""
+    n, first, last = article_clock(spark, d).agg(
+        F.count("*"), F.unix_micros(F.min("date")), F.unix_micros(F.max("date"))).first()
+    return Lookback(DAYS, HORIZON, 99 * DAYS * windows.MICROS_PER_DAY * n // (100 * (last - first)))
+
 
 MEMBERS_SQL = """members AS (
   SELECT a.idx_news AS anchor_id, a.date AS anchor_date, m.idx_news AS member_id, m.date AS member_date
   FROM news a JOIN news m ON (m.date > a.date - INTERVAL 7 DAY AND m.date <= a.date - INTERVAL 30 MINUTE) OR m.date = a.date
   WHERE a.date > (SELECT min(date) FROM news) + INTERVAL 7 DAY)"""
 ELIGIBLE_SQL = f"""eligible AS (SELECT anchor_id AS idx_news, anchor_date AS date, count(*) AS n_members,
-  count(*) >= {LOOK.min_news} AS eligible FROM members GROUP BY ALL)"""
+  count(*) >= {MIN_NEWS_SQL} AS eligible FROM members GROUP BY ALL)"""
 SCHEDULE_SQL = """lagged AS (SELECT *, lag(date) OVER (ORDER BY date) AS pd, lag(eligible) OVER (ORDER BY date) AS pe FROM eligible),
 flagged AS (SELECT *, eligible AND (pd IS NULL OR NOT pe OR CAST(pd AS DATE) <> CAST(date AS DATE)) AS refit FROM lagged),
 schedule AS (SELECT idx_news, date, n_members, eligible, refit, CASE WHEN eligible THEN
@@ -27,33 +38,33 @@ WINDOW_SQL = f"{NEWS_SQL}, {MEMBERS_SQL}, {ELIGIBLE_SQL}, {SCHEDULE_SQL}"
 
 @query("window_members", f"WITH {NEWS_SQL}, {MEMBERS_SQL} SELECT anchor_id, member_id FROM members")
 def _(spark, d):
-    return windows.window_members(article_clock(spark, d), LOOK).select("anchor_id", "member_id")
+    return windows.window_members(article_clock(spark, d), look(spark, d)).select("anchor_id", "member_id")
 
 
 @query("eligible_anchors", f"WITH {NEWS_SQL}, {MEMBERS_SQL}, {ELIGIBLE_SQL} SELECT idx_news, n_members, eligible FROM eligible")
 def _(spark, d):
-    return windows.eligible_anchors(article_clock(spark, d), LOOK).select("idx_news", "n_members", "eligible")
+    return windows.eligible_anchors(article_clock(spark, d), look(spark, d)).select("idx_news", "n_members", "eligible")
 
 
 @query("refit_schedule", f"WITH {WINDOW_SQL} SELECT idx_news, n_members, eligible, refit, chain_id FROM schedule")
 def _(spark, d):
-    out = windows.refit_schedule(article_clock(spark, d), LOOK)
+    out = windows.refit_schedule(article_clock(spark, d), look(spark, d))
     return out.select("idx_news", "n_members", "eligible", "refit", "chain_id")
 
 
 # --- clustering of the refit windows ------------------------------------------------
 
-# Different vectors of the tables lie 0.49 and more apart: the grid starts there.
-EPS, SIZE_MIN = 0.65, 3
-GRID = [0.6, 0.65, 0.7, 0.75]
+EPS, SIZE_MIN = 0.64, 3
+GRID = clusters.EPS_GRID
 
 
 def refit_points(spark, d):
     """(window, node, embedding, label): members of every window that is fitted."""
     vectors = article_vectors(spark, d).select("idx_news", "embedding", "label")
     clock = article_clock(spark, d)
-    fits = windows.refit_schedule(clock, LOOK).filter("refit")
-    members = windows.window_members(clock, LOOK, of=fits)
+    span = look(spark, d)
+    fits = windows.refit_schedule(clock, span).filter("refit")
+    members = windows.window_members(clock, span, of=fits)
     rows = members.select(F.col("anchor_id").alias("window"), F.col("member_id").alias("node"))
     return rows.join(vectors.withColumnRenamed("idx_news", "node"), "node").select("window", "node", "embedding", "label")
 
@@ -67,16 +78,16 @@ nbr AS MATERIALIZED (SELECT p.win, p.node AS u, q.node AS w, q.label AS wl, p.la
   JOIN dists d ON d.a = p.node AND d.b = q.node)"""
 
 GRID_SQL = ", ".join(f"({i}, {e})" for i, e in enumerate(GRID))
-# One clustering per window and eps: reachability of core points by recursion.
+# One clustering per window and eps: the smallest core point in reach, by recursion.
 DBSCAN_SQL = f"""{POINTS_SQL},
 params(param, eps) AS (VALUES {GRID_SQL}),
 core AS MATERIALIZED (SELECT win, param, u FROM nbr JOIN params ON dist <= eps GROUP BY ALL HAVING count(*) >= {SIZE_MIN}),
 edges AS MATERIALIZED (SELECT n.win, p.param, n.u, n.w FROM nbr n JOIN params p ON n.dist <= p.eps
   JOIN core a ON a.win = n.win AND a.param = p.param AND a.u = n.u
   JOIN core b ON b.win = n.win AND b.param = p.param AND b.u = n.w),
-reach AS (SELECT win, param, u, u AS r FROM core
-  UNION SELECT e.win, e.param, e.w, r.r FROM reach r JOIN edges e ON e.win = r.win AND e.param = r.param AND e.u = r.u),
-comp AS (SELECT win, param, u, min(r) AS root FROM reach GROUP BY ALL),
+comp(win, param, u, root) USING KEY (win, param, u) AS (SELECT win, param, u, u FROM core
+  UNION (SELECT e.win, e.param, e.w, min(r.root) FROM comp r JOIN edges e ON e.win = r.win AND e.param = r.param AND e.u = r.u
+    JOIN recurring.comp c ON c.win = e.win AND c.param = e.param AND c.u = e.w WHERE r.root < c.root GROUP BY ALL)),
 border AS (SELECT n.win, p.param, n.u, min(c.root) AS root FROM nbr n JOIN params p ON n.dist <= p.eps
   JOIN comp c ON c.win = n.win AND c.param = p.param AND c.u = n.w
   LEFT JOIN core k ON k.win = n.win AND k.param = p.param AND k.u = n.u WHERE k.u IS NULL GROUP BY ALL),
@@ -86,7 +97,19 @@ labelled AS (SELECT p.win, g.param, p.node, coalesce(n.label, -1) AS label FROM
   LEFT JOIN numbered n ON n.win = p.win AND n.param = g.param AND n.u = p.node)"""
 
 
-@query("pair_distance", f"""WITH RECURSIVE {POINTS_SQL}
+@query("pair_distance", f"""WITH {NEWS_SQL}, {VECTORS_SQL} SELECT a.idx_news, {s6('1 - list_cosine_similarity(a.v, b.v)')} AS cosine,
+  {s6('list_distance(a.v, b.v)')} AS euclidean FROM vectors a JOIN vectors b ON b.idx_news = a.idx_news - 1""")
+def _(spark, d):
+    """Every article and the one before it."""
+    v = article_vectors(spark, d)
+    before = v.select((F.col("idx_news") + 1).alias("idx_news"), F.col("embedding").alias("before"))
+    pairs = v.select("idx_news", "embedding").join(before, "idx_news")
+    out = clusters.pair_distance(pairs, "embedding", "before").withColumnRenamed("dist", "cosine")
+    out = clusters.pair_distance(out, "embedding", "before", "euclidean").withColumnRenamed("dist", "euclidean")
+    return out.select("idx_news", r6("cosine").alias("cosine"), r6("euclidean").alias("euclidean"))
+
+
+@query("neighbour_counts", f"""WITH RECURSIVE {POINTS_SQL}
 SELECT win AS "window", u AS node, {", ".join(f"count(*) FILTER (dist <= {e}) AS n{i}" for i, e in enumerate(GRID))} FROM nbr GROUP BY win, u""")
 def _(spark, d):
     out = clusters.neighbour_counts(refit_points(spark, d), GRID)
@@ -99,6 +122,13 @@ def _(spark, d):
     return out.select("window", "node", F.col("label").cast("bigint").alias("label"))
 
 
+@query("dbscan_blocks", f"""WITH RECURSIVE {DBSCAN_SQL} SELECT win AS "window", node, label FROM labelled WHERE param = {GRID.index(EPS)}""")
+def _(spark, d):
+    """Windows cut into several blocks, whose clusters are merged."""
+    out = clusters.dbscan(refit_points(spark, d), EPS, SIZE_MIN, rows=64)
+    return out.select("window", "node", F.col("label").cast("bigint").alias("label"))
+
+
 @query("multi_eps", f"""WITH RECURSIVE {DBSCAN_SQL} SELECT win AS "window", param, node, label FROM labelled""")
 def _(spark, d):
     out = clusters.multi_eps(refit_points(spark, d), [(e, SIZE_MIN) for e in GRID])
@@ -151,7 +181,7 @@ SELECT * FROM (SELECT anchor_id, CAST(label AS BIGINT) AS label, count(*) AS vot
 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY votes DESC, label) = 1""")
 def _(spark, d):
     labels = article_vectors(spark, d).select(F.col("idx_news").alias("member_id"), "label").filter("label <> -1")
-    pairs = windows.window_members(article_clock(spark, d), LOOK).filter("member_id <> anchor_id")
+    pairs = windows.window_members(article_clock(spark, d), look(spark, d)).filter("member_id <> anchor_id")
     out = clusters.label_vote(pairs.join(labels, "member_id"), ["anchor_id"])
     return out.select("anchor_id", F.col("label").cast("bigint").alias("label"), "votes")
 
@@ -162,7 +192,7 @@ def chain_labels(spark, d):
 
     vectors = article_vectors(spark, d)
     return cluster_features.chain_labels(
-        vectors.select("idx_news", "date", "embedding"), LOOK, fit=lambda p: clusters.eps_sweep(p, GRID, SIZE_MIN))
+        vectors.select("idx_news", "date", "embedding"), look(spark, d), fit=lambda p: clusters.eps_sweep(p, GRID, SIZE_MIN))
 
 
 @query("incremental_labels")
@@ -173,7 +203,7 @@ def _(spark, d):
 
 @query("k_sqrt", f"""WITH {WINDOW_SQL} SELECT idx_news, greatest(2, CAST(floor(sqrt(n_members)) AS BIGINT)) AS k FROM schedule""")
 def _(spark, d):
-    rows = windows.eligible_anchors(article_clock(spark, d), LOOK)
+    rows = windows.eligible_anchors(article_clock(spark, d), look(spark, d))
     return rows.select("idx_news", clusters.k_sqrt(F.col("n_members")).alias("k"))
 
 
@@ -185,5 +215,5 @@ def _(spark, d):
 
 @query("k_select")
 def _(spark, d):
-    _, chosen = clusters.k_select(refit_points(spark, d), "silhouette_score", range(2, 8), n_init=5)
+    _, chosen = clusters.k_select(refit_points(spark, d), "silhouette_score", range(2, 8))
     return chosen.select("window", "k", r6("silhouette_score").alias("silhouette_score"))

@@ -345,15 +345,21 @@ def incremental_labels(
         label = F.when(F.col("votes") > F.col("size_min"), F.col("label")).otherwise(NOISE)
         return new.join(best, keys, "left").withColumn("label", F.coalesce(label, F.lit(NOISE)).cast("int")).drop("votes")
 
-    current = cut_lineage(decide(base))
-    while True:
-        more = _ballots(new, current, look, metric, rows)
-        votes = base.unionByName(more).groupBy(*keys, "label").agg(F.sum("votes").alias("votes"))
-        after = cut_lineage(decide(votes))
-        moved = after.select(*keys, "label").exceptAll(current.select(*keys, "label")).isEmpty()
-        current = after
-        if moved:
-            return current.select("chain_id", "id", "t", "embedding", "label")
+    votes, current = base, cut_lineage(decide(base))
+    gone, come = current.limit(0), current.filter(F.col("label") != NOISE)
+    # Only articles whose label changed vote again: out with the old label, in with the new.
+    while not (gone.isEmpty() and come.isEmpty()):
+        withdrawn = _ballots(new, gone, look, metric, rows).withColumn("votes", -F.col("votes"))
+        changes = _ballots(new, come, look, metric, rows).unionByName(withdrawn)
+        votes = cut_lineage(
+            votes.unionByName(changes).groupBy(*keys, "label").agg(F.sum("votes").alias("votes")).filter("votes > 0"))
+        after = decide(votes).join(current.select(*keys, F.col("label").alias("_before")), keys)
+        after = cut_lineage(after)
+        changed = after.filter(F.col("label") != F.col("_before"))
+        gone = changed.withColumn("label", F.col("_before")).filter(F.col("label") != NOISE).drop("_before")
+        come = changed.filter(F.col("label") != NOISE).drop("_before")
+        current = after.drop("_before")
+    return current.select("chain_id", "id", "t", "embedding", "label")
 
 
 # --- k-means --------------------------------------------------------------------
@@ -396,31 +402,36 @@ def _nearest(points: DataFrame, centres: DataFrame, rows: int, labels: bool) ->
         joined = {c: np.concatenate(v) for c, v in out.items()}
         return {**joined, "total": kernels.vectors(joined["total"])}
 
+    # Points in blocks; whole starts, (k, init), in batches of about ``rows`` centres.
     sizes = points.groupBy("window").agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    starts = centres.groupBy("window", "k", "init").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("window").orderBy("k", "init")) - F.col("_n")
+    batches = cut_lineage(starts.withColumn("batch", F.floor(before / rows)).drop("_n"))
+    held = batches.select("window", "batch").distinct()
+    none = F.lit(0)
     split = points.join(sizes, "window").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_parts")))
-    copies = centres.join(sizes, "window").withColumn(
+    copies = centres.join(batches, ["window", "k", "init"]).join(sizes, "window").withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
-    none = F.lit(0)
-    both = split.select(
-        "window", "block", "node", "embedding", none.alias("k"), none.alias("init"), none.alias("c"),
+    both = split.join(held, "window").select(
+        "window", "block", "batch", "node", "embedding", none.alias("k"), none.alias("init"), none.alias("c"),
         F.lit(True).alias("is_point"),
     ).unionByName(copies.select(
-        "window", "block", F.lit(0).cast("bigint").alias("node"), "embedding", "k", "init", "c",
+        "window", "block", "batch", F.lit(0).cast("bigint").alias("node"), "embedding", "k", "init", "c",
         F.lit(False).alias("is_point")))
     return kernels.per_group(
-        both, ["window", "block"], assign,
-        "window bigint, block bigint, k int, init int, c int, node bigint, n double, cost double, total array<double>",
+        both, ["window", "block", "batch"], assign,
+        "window bigint, block bigint, batch bigint, k int, init int, c int, node bigint, n double, cost double, total array<double>",
     )
 
 
 def kmeans(
-    points: DataFrame, ks: Sequence[int] | None = None, n_init: int = 20, max_iter: int = 100,
-    tol: float = 1e-4, rows: int = BLOCK,
+    points: DataFrame, ks: Sequence[int] | None = None, n_init: int = 20, tol: float = 1e-4, rows: int = BLOCK,
 ) -> DataFrame:
     """(window, k, node, label): Lloyd's method for all windows, k and restarts at once.
 
     ``ks=None`` takes the square-root rule per window. Restart i starts from the k
-    points with the lowest hash under seed i; the lowest total cost wins.
+    points with the lowest hash under seed i; the lowest total cost wins. A start leaves
+    the loop when none of its centres moves by more than ``tol``; the loop ends with the last.
     """
     points = cut_lineage(points)
     if ks is None:
@@ -429,7 +440,7 @@ def kmeans(
         wanted = points.select("window").distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     wanted = cut_lineage(wanted)
     widest = wanted.groupBy("window").agg(F.max("k").alias("_kmax"))
-    seeds = points.withColumn("init", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+    seeds = points.select("window", "node").withColumn("init", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
     by_hash = W.partitionBy("window", "init", "_slice").orderBy("_h", "node")
     overall = W.partitionBy("window", "init").orderBy("_h", "node")
     # Rank inside slices first: only k rows per slice reach the final ranking.
@@ -438,21 +449,24 @@ def kmeans(
         .withColumns({"_h": F.xxhash64("node", "init"), "_slice": F.pmod(F.xxhash64("node"), F.lit(64))})
         .withColumn("_r", F.row_number().over(by_hash)).filter("_r <= _kmax")
         .withColumn("c", F.row_number().over(overall) - 1).filter("c < _kmax")
-        .select("window", "init", "c", "embedding")
+        .select("window", "init", "c", "node")
+        .join(points.select("window", "node", "embedding"), ["window", "node"])
     )
     centres = cut_lineage(drawn.join(wanted, "window").filter("c < k").select("window", "k", "init", "c", "embedding"))
     keys = ["window", "k", "init", "c"]
-    for _ in range(max_iter):
-        sums = _nearest(points, centres, rows, labels=False).groupBy(*keys).agg(
+    centres = centres.withColumn("live", F.lit(True))
+    while not (live := centres.filter("live").drop("live")).isEmpty():
+        sums = _nearest(points.join(live.select("window").distinct(), "window", "left_semi"), live, rows, labels=False)
+        sums = sums.groupBy(*keys).agg(
             F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
         mean = F.when(F.col("n") > 0, F.transform("total", lambda x: F.try_divide(x, F.col("n"))))
-        moved = centres.join(sums, keys, "left").select(
-            *keys, F.coalesce(mean, "embedding").alias("embedding"), F.col("embedding").alias("_old"))
-        moved = cut_lineage(moved)
-        shift = moved.agg(F.max(euclidean_distance("embedding", "_old"))).first()[0]
-        centres = moved.drop("_old")
-        if shift is None or shift <= tol:
-            break
+        moved = live.join(sums, keys, "left").select(
+            *keys, F.coalesce(mean, "embedding").alias("embedding"),
+            euclidean_distance(F.coalesce(mean, "embedding"), F.col("embedding")).alias("_shift"))
+        shift = F.max("_shift").over(W.partitionBy("window", "k", "init"))
+        moved = moved.withColumn("live", F.coalesce(shift > tol, F.lit(False))).drop("_shift")
+        centres = cut_lineage(moved.unionByName(centres.filter("NOT live")))
+    centres = centres.drop("live")
     costs = _nearest(points, centres, rows, labels=False).groupBy("window", "k", "init").agg(F.sum("cost").alias("cost"))
     best = costs.groupBy("window", "k").agg(F.min(F.struct("cost", "init")).alias("b")).select("window", "k", "b.init")
     winners = centres.join(best, ["window", "k", "init"], "left_semi")

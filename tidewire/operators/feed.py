@@ -30,8 +30,9 @@ def distinct_columns(names: Iterable[str]) -> list[str]:
 def shape_feed(
     raw: DataFrame,
     kept: Iterable[str] = ("idx_news", "date", "url", "author", "title", "subtitle"),
-    source: str = "Cointelegraph",
-    author_prefixes: Iterable[str] = ("Cointelegraph by",),
+    *,
+    source: str,
+    author_prefixes: Iterable[str] = (),
 ) -> DataFrame:
     """Raw rows to typed news rows; ``title_desc`` is title + subtitle text.
 

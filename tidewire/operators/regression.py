@@ -17,6 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.errors.exceptions.captured import UnsupportedOperationException
+
 from tidewire.operators import kernels
 from tidewire.operators.feed import distinct_columns, with_prefix
 from tidewire.operators.ordering import chrono_split, contiguous_folds
@@ -151,16 +153,20 @@ def lasso_cv(
     descending logarithmic grid is refitted on all rows. The rows are read once.
     """
     names = distinct_columns(features)
-    folded = contiguous_folds(train.select(key, "date", *names, target), ["date", key], key, folds)
+    # Products of centred values: a large mean costs no digits.
+    mean = train.agg(*[F.avg(F.col(c).cast("double")) for c in [*names, target]]).first()
+    centred = [(F.col(c).cast("double") - F.lit(m)).alias(c) for c, m in zip([*names, target], mean)]
+    folded = contiguous_folds(train.select(key, "date", *centred), ["date", key], key, folds)
     raw = cross_products(folded, names + [target], "fold")
+    scale = np.abs(np.array([m or 0.0 for m in mean[:-1]]))
     total = sum(raw.values())
-    mean = total[0, 1:-1] / total[0, 0]
-    std = np.sqrt(np.maximum(np.diag(total)[1:-1] / total[0, 0] - mean**2, 0.0))
+    rest = total[0, 1:-1] / total[0, 0]
+    std = np.sqrt(np.maximum(np.diag(total)[1:-1] / total[0, 0] - rest**2, 0.0))
     shift = np.eye(len(total))
-    safe = np.where(std > 1e-12 * np.maximum(np.abs(mean), 1e-300), std, np.inf)
+    safe = np.where(std > 1e-12 * np.maximum(scale, 1e-300), std, np.inf)
     for j in range(len(names)):
         shift[j + 1, j + 1] = 1.0 / safe[j]
-        shift[j + 1, 0] = -mean[j] / safe[j]
+        shift[j + 1, 0] = -rest[j] / safe[j]
     parts = {f: shift @ m @ shift.T for f, m in raw.items()}
     whole = sum(parts.values())
     g, c, _, _ = _centred(whole)
@@ -215,7 +221,8 @@ def ols(train: DataFrame, features: Iterable[str], target: str):
     try:
         s = model.summary
         extra = list(zip(s.coefficientStandardErrors, s.tValues, s.pValues))
-    except Exception:
+    except UnsupportedOperationException:
+        # A singular normal matrix: another solver gave the coefficients.
         extra = [(None, None, None)] * len(coefs)
     rows = [(n, float(b), *e) for n, b, e in zip([*names, "const"], coefs, extra)]
     table = train.sparkSession.createDataFrame(

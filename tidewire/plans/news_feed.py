@@ -12,14 +12,14 @@ from tidewire.operators import embed, feed, language, lemmas, sentiment
 
 def clean(
     raw: DataFrame, lang: str | None = None, language_model: DataFrame | None = None,
-    wanted: str = "en", terms: Iterable = text.COLUMN_PHRASES,
+    wanted: str = "en", terms: Iterable = text.COLUMN_PHRASES, *, source: str, author_prefixes: Iterable[str] = (),
 ) -> DataFrame:
     """Shape, keep one language, clean, drop repeats. ``raw`` carries ``idx_news``."""
     kept = ["idx_news", "date", "url", "author", "title", "subtitle", *([lang] if lang else [])]
     keep = None
     if lang or language_model is not None:
         keep = lambda df: language.keep_language(df, wanted, lang, language_model)
-    return feed.clean_feed(feed.shape_feed(raw, kept), "title_desc", keep, terms)
+    return feed.clean_feed(feed.shape_feed(raw, kept, source=source, author_prefixes=author_prefixes), "title_desc", keep, terms)
 
 
 def score(news: DataFrame, models: dict[str, Callable], col: str = "title_desc") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only after a count shows it is at most this many rows.
-BROADCAST_ROWS = 500_000
+# A side is broadcast only after its values are measured: at most this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: str | int = "*", app: str = "tidewire") -> SparkSession:
@@ -23,6 +24,7 @@ def local_session(cpus: str | int = "*", app: str = "tidewire") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -51,11 +53,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Store ``df`` and mark it for broadcast if it has at most ``max_rows`` rows.
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Size of one value: 8 bytes and what texts, arrays and structs hold."""
+    word = F.lit(8).cast("bigint")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        held = F.octet_length(c).cast("bigint")
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        held = F.size(c) * word
+    elif isinstance(kind, T.ArrayType):
+        held = F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        held = sum((_bytes(c[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+    elif isinstance(kind, T.MapType):
+        held = _bytes(F.map_entries(c), T.ArrayType(T.StructType().add("key", kind.keyType).add("value", kind.valueType)))
+    else:
+        return word
+    return word + F.coalesce(held, F.lit(0).cast("bigint"))
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Store ``df`` and mark it for broadcast if its values take at most ``max_bytes``.
 
-    The count and the broadcast read the stored rows, so the plan behind them runs
-    once. Larger sides come back unmarked and Spark joins them by shuffle.
+    The measurement and the broadcast read the stored rows, so the plan behind them
+    runs once. Larger sides come back unmarked and Spark joins them by shuffle.
     """
     stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in stored.schema), F.lit(16).cast("bigint"))
+    return F.broadcast(stored) if (stored.agg(F.sum(width)).first()[0] or 0) <= max_bytes else stored
