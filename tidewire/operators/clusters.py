@@ -370,8 +370,8 @@ def k_sqrt(n: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(F.sqrt(n)))
 
 
-def _nearest(points: DataFrame, centres: DataFrame, rows: int, labels: bool) -> DataFrame:
-    """Assign block-wise. Sums per centre, or with ``labels`` the assignment."""
+def _nearest(points: DataFrame, centres: DataFrame, labels: bool) -> DataFrame:
+    """Assign each ``block`` of points to each ``batch`` of starts. Sums per centre, or with ``labels`` the assignment."""
 
     def assign(key, t):
         is_point = t.column("is_point").to_numpy(zero_copy_only=False)
@@ -402,20 +402,13 @@ def _nearest(points: DataFrame, centres: DataFrame, rows: int, labels: bool) ->
         joined = {c: np.concatenate(v) for c, v in out.items()}
         return {**joined, "total": kernels.vectors(joined["total"])}
 
-    # Points in blocks; whole starts, (k, init), in batches of about ``rows`` centres.
-    sizes = points.groupBy("window").agg(F.ceil(F.count("*") / rows).alias("_parts"))
-    starts = centres.groupBy("window", "k", "init").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("window").orderBy("k", "init")) - F.col("_n")
-    batches = cut_lineage(starts.withColumn("batch", F.floor(before / rows)).drop("_n"))
-    held = batches.select("window", "batch").distinct()
+    held = centres.select("window", "batch").distinct()
     none = F.lit(0)
-    split = points.join(sizes, "window").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_parts")))
-    copies = centres.join(batches, ["window", "k", "init"]).join(sizes, "window").withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
-    both = split.join(held, "window").select(
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)
+    both = points.join(held, "window").select(
         "window", "block", "batch", "node", "embedding", none.alias("k"), none.alias("init"), none.alias("c"),
         F.lit(True).alias("is_point"),
-    ).unionByName(copies.select(
+    ).unionByName(centres.withColumn("block", F.explode(blocks)).select(
         "window", "block", "batch", F.lit(0).cast("bigint").alias("node"), "embedding", "k", "init", "c",
         F.lit(False).alias("is_point")))
     return kernels.per_group(
@@ -452,25 +445,32 @@ def kmeans(
         .select("window", "init", "c", "node")
         .join(points.select("window", "node", "embedding"), ["window", "node"])
     )
-    centres = cut_lineage(drawn.join(wanted, "window").filter("c < k").select("window", "k", "init", "c", "embedding"))
+    sizes = points.groupBy("window").agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    # Points in blocks; whole starts, (k, init), in batches of about ``rows`` centres.
+    before = F.sum("k").over(W.partitionBy("window").orderBy("k", "init")) - F.col("k")
+    batches = wanted.withColumn("init", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))).withColumn(
+        "batch", F.floor(before / rows)).join(sizes, "window")
+    centres = cut_lineage(drawn.join(batches, ["window", "init"]).filter("c < k").select(
+        "window", "k", "init", "c", "batch", "_parts", "embedding"))
+    points = cut_lineage(points.join(sizes, "window").select(
+        "window", "node", "embedding", F.pmod(F.xxhash64("node"), F.col("_parts")).alias("block")))
     keys = ["window", "k", "init", "c"]
     centres = centres.withColumn("live", F.lit(True))
     while not (live := centres.filter("live").drop("live")).isEmpty():
-        sums = _nearest(points.join(live.select("window").distinct(), "window", "left_semi"), live, rows, labels=False)
-        sums = sums.groupBy(*keys).agg(
+        sums = _nearest(points, live, labels=False).groupBy(*keys).agg(
             F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
         mean = F.when(F.col("n") > 0, F.transform("total", lambda x: F.try_divide(x, F.col("n"))))
         moved = live.join(sums, keys, "left").select(
-            *keys, F.coalesce(mean, "embedding").alias("embedding"),
+            *keys, "batch", "_parts", F.coalesce(mean, "embedding").alias("embedding"),
             euclidean_distance(F.coalesce(mean, "embedding"), F.col("embedding")).alias("_shift"))
         shift = F.max("_shift").over(W.partitionBy("window", "k", "init"))
         moved = moved.withColumn("live", F.coalesce(shift > tol, F.lit(False))).drop("_shift")
         centres = cut_lineage(moved.unionByName(centres.filter("NOT live")))
     centres = centres.drop("live")
-    costs = _nearest(points, centres, rows, labels=False).groupBy("window", "k", "init").agg(F.sum("cost").alias("cost"))
+    costs = _nearest(points, centres, labels=False).groupBy("window", "k", "init").agg(F.sum("cost").alias("cost"))
     best = costs.groupBy("window", "k").agg(F.min(F.struct("cost", "init")).alias("b")).select("window", "k", "b.init")
     winners = centres.join(best, ["window", "k", "init"], "left_semi")
-    return _nearest(points, winners, rows, labels=True).select("window", "k", "node", F.col("c").alias("label"))
+    return _nearest(points, winners, labels=True).select("window", "k", "node", F.col("c").alias("label"))
 
 
 def k_select(
