@@ -195,7 +195,27 @@ def chain_labels(spark, d):
         vectors.select("idx_news", "date", "embedding"), look(spark, d), fit=lambda p: clusters.eps_sweep(p, GRID, SIZE_MIN))
 
 
-@query("incremental_labels")
+# Step by step: the n-th late article of every chain votes among the articles labelled so far.
+INCREMENTAL_SQL = f"""{DBSCAN_SQL},
+best AS (SELECT win, param, p.eps FROM (SELECT win, param, count(DISTINCT label) AS nb FROM labelled GROUP BY ALL) JOIN params p USING (param)
+  QUALIFY row_number() OVER (PARTITION BY win ORDER BY nb DESC, param) = 1),
+spans AS (SELECT chain_id, min(date) AS first, max(date) AS last FROM schedule WHERE eligible GROUP BY 1 HAVING max(date) > min(date)),
+late AS MATERIALIZED (SELECT s.chain_id, v.idx_news AS id, v.date, b.eps, row_number() OVER (PARTITION BY s.chain_id ORDER BY v.date) AS n
+  FROM spans s JOIN best b ON b.win = s.chain_id
+  JOIN vectors v ON v.date > s.first - INTERVAL {HORIZON} MINUTE AND v.date <= s.last AND v.date <> s.first),
+late_nbr AS MATERIALIZED (SELECT l.chain_id, l.id, d.b AS other FROM late l JOIN dists d ON d.a = l.id AND d.dist < l.eps
+  JOIN news o ON o.idx_news = d.b WHERE o.date > l.date - INTERVAL {DAYS} DAY AND o.date <= l.date - INTERVAL {HORIZON} MINUTE),
+told(chain_id, id, label, n) USING KEY (chain_id, id) AS (
+  SELECT l.win, l.node, l.label, 0 FROM labelled l JOIN best USING (win, param)
+  UNION (SELECT chain_id, id, CASE WHEN votes > {SIZE_MIN} THEN label ELSE -1 END, n FROM (
+    SELECT l.chain_id, l.id, l.n, r.label, count(r.label) AS votes
+    FROM (SELECT DISTINCT chain_id, n FROM told) t JOIN late l ON l.chain_id = t.chain_id AND l.n = t.n + 1
+    LEFT JOIN late_nbr o ON o.chain_id = l.chain_id AND o.id = l.id
+    LEFT JOIN recurring.told r ON r.chain_id = l.chain_id AND r.id = o.other AND r.label <> -1 GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY votes DESC, label) = 1))"""
+
+
+@query("incremental_labels", f"""WITH RECURSIVE {INCREMENTAL_SQL} SELECT chain_id, id AS idx_news, label FROM told WHERE n > 0""")
 def _(spark, d):
     labels = chain_labels(spark, d).newcomers
     return labels.select("chain_id", F.col("id").alias("idx_news"), F.col("label").cast("bigint").alias("label"))
