@@ -186,19 +186,24 @@ def _(spark, d):
     return out.select("anchor_id", F.col("label").cast("bigint").alias("label"), "votes")
 
 
-def chain_labels(spark, d):
+def chain_labels(spark, d, fit=lambda p: clusters.eps_sweep(p, GRID, SIZE_MIN)):
     """Fit every chain's first window, then label the later articles one by one."""
     from tidewire.plans import cluster_features
 
     vectors = article_vectors(spark, d)
-    return cluster_features.chain_labels(
-        vectors.select("idx_news", "date", "embedding"), look(spark, d), fit=lambda p: clusters.eps_sweep(p, GRID, SIZE_MIN))
+    return cluster_features.chain_labels(vectors.select("idx_news", "date", "embedding"), look(spark, d), fit=fit)
 
 
-# Step by step: the n-th late article of every chain votes among the articles labelled so far.
-INCREMENTAL_SQL = f"""{DBSCAN_SQL},
-best AS (SELECT win, param, p.eps FROM (SELECT win, param, count(DISTINCT label) AS nb FROM labelled GROUP BY ALL) JOIN params p USING (param)
-  QUALIFY row_number() OVER (PARTITION BY win ORDER BY nb DESC, param) = 1),
+SEARCHED = """SELECT win, param, p.eps FROM (SELECT win, param, count(DISTINCT label) AS nb FROM labelled GROUP BY ALL) JOIN params p USING (param)
+  QUALIFY row_number() OVER (PARTITION BY win ORDER BY nb DESC, param) = 1"""
+# An eps at which some of the late articles join a cluster and some do not.
+WIDE = GRID[24]
+FIXED = f"SELECT DISTINCT win, param, CAST({WIDE} AS DOUBLE) AS eps FROM labelled WHERE param = {GRID.index(WIDE)}"
+
+
+def _late_sql(best: str) -> str:
+    """Step by step: the n-th late article of every chain votes among the articles labelled so far."""
+    return f"""WITH RECURSIVE {DBSCAN_SQL}, best AS ({best}),
 spans AS (SELECT chain_id, min(date) AS first, max(date) AS last FROM schedule WHERE eligible GROUP BY 1 HAVING max(date) > min(date)),
 late AS MATERIALIZED (SELECT s.chain_id, v.idx_news AS id, v.date, b.eps, row_number() OVER (PARTITION BY s.chain_id ORDER BY v.date) AS n
   FROM spans s JOIN best b ON b.win = s.chain_id
@@ -212,15 +217,26 @@ told(chain_id, id, label, n) USING KEY (chain_id, id) AS (
     FROM (SELECT DISTINCT chain_id, n FROM told) t JOIN late l ON l.chain_id = t.chain_id AND l.n = t.n + 1
     LEFT JOIN late_nbr o ON o.chain_id = l.chain_id AND o.id = l.id
     LEFT JOIN recurring.told r ON r.chain_id = l.chain_id AND r.id = o.other AND r.label <> -1 GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY votes DESC, label) = 1))"""
+    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY votes DESC, label) = 1))
+SELECT chain_id, id AS idx_news, label FROM told WHERE n > 0"""
 
 
-@query("incremental_labels", f"""WITH RECURSIVE {INCREMENTAL_SQL} SELECT chain_id, id AS idx_news, label FROM told WHERE n > 0""")
+@query("incremental_labels", _late_sql(SEARCHED))
 def _(spark, d):
     labels = chain_labels(spark, d).newcomers
     return labels.select("chain_id", F.col("id").alias("idx_news"), F.col("label").cast("bigint").alias("label"))
 
 
+@query("incremental_labels_fixed", _late_sql(FIXED))
+def _(spark, d):
+    """The same with one eps for all windows."""
+    from tidewire.plans.cluster_features import make_fit
+
+    fit = make_fit("dbscan", opti=False, clustering_params={"eps": WIDE, "size_min": SIZE_MIN})
+    labels = chain_labels(spark, d, fit).newcomers
+    return labels.select("chain_id", F.col("id").alias("idx_news"), F.col("label").cast("bigint").alias("label"))
+
+
 @query("k_sqrt", f"""WITH {WINDOW_SQL} SELECT idx_news, greatest(2, CAST(floor(sqrt(n_members)) AS BIGINT)) AS k FROM schedule""")
 def _(spark, d):
     rows = windows.eligible_anchors(article_clock(spark, d), look(spark, d))
