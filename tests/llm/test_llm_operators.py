@@ -271,6 +271,17 @@ def test_pii(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    made = ["127.0.0.1", "10.0.0.1", "0.0.0.0", "192.168.1.0", "000.00.0.0000", "0.0.0.256", "0.0.00300.0", "0255.0.010.100", "1.0.0"]
+    frame = spark.createDataFrame([*enumerate(f"at {x} up" for x in made), (99, "; ".join(made))], "doc_id long, text string")
+    found = pii.find(frame, ("doc_id", "text")).select("*", pii.listed(F.col("base")).alias("b"), pii.redact(F.col("text"), F.col("spans")).alias("clean"))
+    rows = {r.doc_id: r for r in found.collect()}
+    for r in rows.values():
+        counts, digest = brute.pii(r.text)
+        assert brute.sha(r.b) == digest and [sum(s.rank == k for s in r.base) for k in range(4)] == counts
+    assert all(rows[i].clean == "at [IP] up" for i in range(5)) and rows[5].clean == "at 0.0.0.256 up"
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     rng = np.random.default_rng(8)

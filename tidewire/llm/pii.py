@@ -15,7 +15,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+# Leading zeros, then a number up to 255, or nothing if the zeros are the number.
+BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]|(?<=0))"
 #: Kinds in the order of ties; the last two come from the classifier.
 KINDS = ("email", "ip", "card", "phone", "secret", "local_phone")
 SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+"
