@@ -205,6 +205,24 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty, path, 256).count() == 0
 
 
+def test_packing_gives_added_tokens_their_id(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    made = [f"x {end} y", end, end * 3, f"a{end}b  {end}\n\n {end}  c", f"<|{end}|>", "<|endoftext |>", f"  {end}", f"word {end} " * 40]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {}
+    for r in packing.tokenize(frame, path, 64).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for d, text in enumerate(made):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert sum(n for _, n, _ in got[d]) == len(ids)
+        assert all(crc == zlib.crc32(ids[at : at + n].tobytes()) for at, n, crc in got[d])
+    assert packing._encoder(path).encode(made[0], allowed_special="all") == [87, 220, 50256, 331]
+
+
 def test_packing_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     lengths = np.minimum(1024, 1 + rng.lognormal(6, 1, 20000).astype(int))

@@ -23,8 +23,8 @@ def _encoder(vocabulary: str):
     """Ids of the byte-level vocabulary in a ``tokenizers`` file.
 
     The merges run in tiktoken, which gives the same ids several times faster: the ids
-    are the ranks of the merges, the split pattern is the file's, and strings of
-    special tokens are ordinary text.
+    are the ranks of the merges, the split pattern is the file's, and the strings of its
+    added tokens are one id each wherever they stand in a text.
     """
     import json
 
@@ -37,10 +37,10 @@ def _encoder(vocabulary: str):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    special = {t["content"] for t in made["added_tokens"]}
+    special = {t["content"]: t["id"] for t in made["added_tokens"]}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in made["model"]["vocab"].items() if piece not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tokenize(docs: DataFrame, vocabulary: str, width: int = 1024) -> DataFrame:
@@ -59,7 +59,7 @@ def tokenize(docs: DataFrame, vocabulary: str, width: int = 1024) -> DataFrame:
                 part = batch.slice(at, TOKENIZED_ROWS)
                 out: list[tuple] = []
                 for doc, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
-                    ids = np.array([*encoder.encode_ordinary(text or ""), EOS], dtype="<u4")
+                    ids = np.array([*encoder.encode(text or "", allowed_special="all"), EOS], dtype="<u4")
                     first = len(ids) if len(ids) <= width else len(ids) % width or width
                     cuts = [0, *range(first, len(ids), width), len(ids)]
                     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
