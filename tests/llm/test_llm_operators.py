@@ -93,6 +93,22 @@ def test_dedup_text_repeated_rows_and_null_ids(spark):
     assert bytes_[2, None].text == b
 
 
+def test_byte_dedup_of_a_long_templated_text(spark):
+    """Contexts that are all open add up to more symbols than anchors take at once."""
+    rng = random.Random(10)
+    template = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    text = "".join(f"{template}{i:06d}" for i in range(20_000))
+    frame = spark.createDataFrame([(1, text), (2, text[500_000:500_300])], "doc_id long, text string")
+    got = {r.doc_id: (r.n, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(frame).collect()}
+    assert got == {1: (len(text), 300, 1, brute.sha(text[:500_000] + text[500_300:])), 2: (300, 300, 1, brute.sha(""))}
+
+
+def test_word_dedup_of_a_long_run(spark):
+    made = {i: "a " * 100_000 + f"end{i} " + "b " * 9 for i in range(1, 4)} | {4: "c " + "a " * 60}
+    got = {r.doc_id: (r.n, r.n_removed, r.kept_sha256) for r in lz_dedup.dedup(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
+    assert got == brute.word_dedup(made)
+
+
 def test_jaccard_join(docs, texts, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
     assert got == brute.jaccard(texts)

@@ -29,6 +29,8 @@ U = np.uint64
 HOT = 4096
 #: Contexts per task.
 TASK = 20_000
+#: Symbols of contexts that are cut at once: they overlap, so there are more than in the text.
+CUT = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,10 @@ def refined(docs: DataFrame, open_: DataFrame, shape: Shape) -> DataFrame:
         low, count = (at >> 8) & 0xFFFFFFFF, at & 255
         start = offsets[doc] + low
         size = count + w - 1
+        for a, b in sym.parts(np.r_[0, np.cumsum(size)], CUT):
+            yield slices(batch, values, *(x[a:b] for x in (doc, low, sure, start, size)))
+
+    def slices(batch, values, doc, low, sure, start, size):
         ends = np.cumsum(size)
         index = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
         own = np.ascontiguousarray(values[index])
@@ -129,7 +135,7 @@ def refined(docs: DataFrame, open_: DataFrame, shape: Shape) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a, b in sym.parts(sym.text_bytes(batch.column(1))[1]):
-                yield cut(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns], names=batch.schema.names))
+                yield from cut(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns], names=batch.schema.names))
 
     return joined.mapInArrow(run, "anchor long, doc_id long, at long, left int, around binary, sure boolean")
 
