@@ -130,6 +130,16 @@ def test_jaccard_ties_small_blocks(spark, monkeypatch):
     assert (None, want[0][1]) in got and want[31][1] == 30
 
 
+def test_keep_one_row_of_each_component(spark):
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 40, 10**6) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a + " more", "y"), (None, b, "z"), (None, c, "x"), (None, c, "x"), (None, a, "n"), (7, d, "l"), (None, "", "e"), (None, None, "e"), (8, " ", "e")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    want = [(1, a, "x"), (None, b, "z"), (None, c, "x"), (7, d, "l"), (None, "", "e"), (None, None, "e"), (8, " ", "e")]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import symbols as sym
@@ -67,23 +67,24 @@ def _folded(bitmaps: list[bytes]) -> np.ndarray:
     return np.array(rows)
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, node (name of the set; null without words), low (its smallest hashes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("low", pa.list_(pa.int64()))])
+def sketches(docs: DataFrame, n: int, key: Column) -> DataFrame:
+    """doc_id, row_key, size, node (name of the set; null without words), low (its smallest hashes)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("low", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1), n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_name(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([s[:MEET].view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, node long, low array<long>")
+    rows = docs.select("doc_id", "text", key.cast("bigint").alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, size long, node long, low array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -279,7 +280,16 @@ def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     are compared by 64-bit hashes. Repeated rows are alike; rows that share a doc_id with
     different texts count one by one; a null doc_id is never the smallest one.
     """
-    rows = store(sketches(docs, n))
+    labelled = labels(docs, percent, n, F.lit(0))
+    lowest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    return labelled.join(lowest, "root", "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id")
+    )
+
+
+def labels(docs: DataFrame, percent: int, n: int, key: Column) -> DataFrame:
+    """Per row: doc_id, row_key (``key``), size, root (one name per component; null without words)."""
+    rows = store(sketches(docs, n, key))
     nodes = store(
         rows.where("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("key"), F.first("size").alias("size"), F.first("low").alias("low")
@@ -304,17 +314,24 @@ def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
         links = store(links.unionByName(verified(found, sets, percent)))
         discard(found)
     roots = components(links)
-    labelled = rows.join(roots, "node", "left").select("doc_id", "size", "node", F.coalesce("root", "node").alias("root"))
+    labelled = rows.join(roots, "node", "left").select("doc_id", "row_key", "size", F.coalesce("root", "node").alias("root"))
     labelled = store(labelled)
-    lowest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
-    out = labelled.join(lowest, "root", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id")
-    )
     discard(rows, meeting, tiled, sets, signs)
-    return out
+    return labelled
 
 
 def keep_one(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    first = join(docs, percent, n).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One row of each component: the smallest doc_id, nulls last; of rows that share it, one.
+
+    A row without words is its own component. The rows are stored with a key first, so that
+    both reads see the same keys.
+    """
+    keyed = store(docs.withColumn("_row_key", F.monotonically_increasing_id()))
+    labelled = labels(keyed, percent, n, F.col("_row_key"))
+    first = labelled.where("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")
+    )
+    kept = first.select(F.col("m.row_key").alias("_row_key")).unionByName(
+        labelled.where("root is null").select(F.col("row_key").alias("_row_key"))
+    )
+    return keyed.join(kept, "_row_key", "left_semi").drop("_row_key")
