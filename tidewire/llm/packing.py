@@ -1,4 +1,4 @@
-"""Packing documents into sequences by a configuration linear program."""
+"""Packing documents into sequences: a configuration linear program, then a greedy for the rest."""
 
 from __future__ import annotations
 
@@ -106,7 +106,8 @@ def solve(counts: np.ndarray, width: int, rounds: int = 400) -> list[tuple[tuple
     that cover all counts. Multiplicative weights hold a price per length: each round a
     knapsack DP prices the best pattern, and lengths it covers become cheaper. The
     average of the rounds, scaled to cover the counts, is rounded down; what is left is
-    filled greedily by the same DP until everything is placed. Work and memory depend on
+    filled greedily (``fill``) until everything is placed; that is nearly all, as the rounds
+    are too few for about 1,000 lengths (figures in the README). Work and memory depend on
     ``width`` and ``rounds``, never on the number of pieces.
     """
     counts = counts.astype(np.int64).copy()
