@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat, lz_dedup, ngram_join, packing, pieces, pii, quality, sharding, suffix_dedup, vectors
+from tidewire.llm import chat, filter_audit, lz_dedup, ngram_join, packing, pieces, pii, quality, sharding, suffix_dedup, vectors
 from tidewire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,46 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+FILTERS = "ABCDE"
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = filter_audit.text_masks(read(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.with_labels(masked, read(spark, sf_dir, "labels")), FILTERS)
+
+
+SQL["op13_filter_audit"] = r"""WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+seen AS MATERIALIZED (
+  SELECT words.doc_id, part, CAST(len(w) < 100 AS INT) AS fa,
+         CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT) AS fb,
+         CAST(100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INT) AS fc,
+         CAST(regexp_matches(text, '[#$%&*|]') AS INT) AS fd,
+         CAST(coalesce(words.doc_id > min(words.doc_id) OVER (PARTITION BY text), false) AS INT) AS fe,
+         coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+  FROM words LEFT JOIN (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
+                        FROM labels GROUP BY doc_id) l ON l.doc_id = words.doc_id),
+masks AS MATERIALIZED (
+  SELECT part, [fa, fb, fc, fd, fe] AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM seen GROUP BY 1, 2),
+f AS (SELECT unnest(range(1, 6)) AS i),
+orders AS MATERIALIZED (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS MATERIALIZED (
+  SELECT o, s.i AS step, o[s.i] AS own, list_slice(o, 1, s.i - 1) AS earlier,
+         array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order FROM orders, f s),
+counted AS MATERIALIZED (
+  SELECT part, filter_order, step, any_value(own) AS own,
+         sum(CASE WHEN fails[own] = 0 AND list_sum(list_transform(earlier, lambda x: fails[x])) IS NOT DISTINCT FROM (CASE WHEN step > 1 THEN 0 END) THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails[own] = 1 AND coalesce(list_sum(list_transform(earlier, lambda x: fails[x])), 0) = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails[own] = 1 AND list_sum(list_transform(earlier, lambda x: fails[x])) > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails[own] = 1 AND list_sum(fails) = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails[own] = 1 AND coalesce(list_sum(list_transform(earlier, lambda x: fails[x])), 0) = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN fails[own] = 1 AND coalesce(list_sum(list_transform(earlier, lambda x: fails[x])), 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted"""
