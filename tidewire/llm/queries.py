@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat, filter_audit, lz_dedup, ngram_join, packing, pieces, pii, quality, sharding, suffix_dedup, vector_codes, vectors
+from tidewire.llm import chat, filter_audit, lm_scoring, lz_dedup, ngram_join, packing, pieces, pii, quality, sharding, suffix_dedup, vector_codes, vectors
 from tidewire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,11 @@ FROM coded JOIN kept USING (vec_id), books"""
 
 
 SQL["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A null doc_id counts as an empty text: its checksum is 0.
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    scored = lm_scoring.score(read(spark, sf_dir, "documents"), ~held_out, lower=True)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
