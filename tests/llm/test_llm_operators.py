@@ -93,6 +93,29 @@ def test_dedup_text_repeated_rows_and_null_ids(spark):
     assert bytes_[2, None].text == b
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_dedup_tells_rows_apart_without_ids(spark, shared):
+    """Texts under one id, or none, that agree in a short checksum keep their own spans."""
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    seen, pairs = {}, []
+    while len(pairs) < 3:
+        text = words(rng, 30, 10**6) + " " + passage if rng.random() < 0.5 else words(rng, 90, 10**6)
+        other = seen.setdefault(zlib.crc32(text.encode()) & 0xFFFFFF, text)
+        if other != text and (passage in text) != (passage in other):
+            pairs.append((other, text))
+    texts = [t for pair in pairs for t in pair] + [words(rng, 100) for _ in range(20)]
+    texts += texts[:3]
+    want = brute.byte_dedup(dict(enumerate(texts)))
+    rows = spark.createDataFrame([(shared, t) for t in texts], "doc_id long, text string").repartition(4)
+    got = sorted((r.n, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(rows).collect())
+    assert got == sorted(want.values())
+    # One doc_id never removes its own words; one before it does.
+    first = spark.createDataFrame([(1, passage)], "doc_id long, text string")
+    kept = lz_dedup.dedup(first.unionByName(rows)).where("doc_id is null or doc_id <> 1").collect()
+    assert sorted(r.n_removed for r in kept) == sorted(60 * (passage in t) for t in texts)
+
+
 def test_byte_dedup_of_a_long_templated_text(spark):
     """Contexts that are all open add up to more symbols than anchors take at once."""
     rng = random.Random(10)

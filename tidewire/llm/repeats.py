@@ -47,65 +47,62 @@ class Shape:
         return sym.word_hashes(raw, offsets) if self.words else (raw, offsets)
 
 
-def _check_bits(text: Column) -> Column:
-    return F.coalesce(F.crc32(text), F.lit(0)).bitwiseAND(0xFFFFFF)
+def row_key() -> Column:
+    """Tells rows apart: 64 bits over doc_id and text. Only rows alike in both share a key,
+    and what repeats in one of them repeats in the other."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
-def _pack(check: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Checksum, first window and number of windows of a context in one number."""
-    return (check.astype(np.int64) << 40) | (low.astype(np.int64) << 8) | count.astype(np.int64)
+def _pack(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First window and number of windows of a context in one number."""
+    return (low.astype(np.int64) << 8) | count.astype(np.int64)
 
 
-CHECK = "shiftrightunsigned(at, 40)"
-LOW = "(shiftrightunsigned(at, 8) & 4294967295L)"
+LOW = "shiftright(at, 8)"
 COUNT = "(at & 255L)"
 
 
 def contexts(docs: DataFrame, shape: Shape) -> DataFrame:
-    """anchor, context, doc_id, at of all contexts of all texts."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+    """anchor, context, the ids of ``docs`` (all columns but text, which comes first), at of all contexts."""
+    ids = docs.columns[1:]
+    names = ["anchor", "context", *ids, "at"]
 
     def run(batches):
         for batch in batches:
-            ids, check = batch.column(0), batch.column(2).to_numpy()
-            for a, b in sym.parts(sym.text_bytes(batch.column(1))[1]):
-                values, offsets = shape.symbols(batch.column(1).slice(a, b - a))
+            for a, b in sym.parts(sym.text_bytes(batch.column(0))[1]):
+                values, offsets = shape.symbols(batch.column(0).slice(a, b - a))
                 values, offsets, owner, begin = sym.long_runs(values, offsets, shape.window)
                 got = sym.Runs(values, offsets).anchors(shape.coarse, shape.window)
                 if len(got["run"]):
-                    own = owner[got["run"]]
-                    at = _pack(check[a + own], got["low"] + begin[got["run"]], got["count"])
+                    own = pa.array(a + owner[got["run"]])
+                    at = _pack(got["low"] + begin[got["run"]], got["count"])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(got["anchor"].view(np.int64)), pa.array(got["context"].view(np.int64)), ids.take(pa.array(a + own)), pa.array(at)],
-                        schema=schema,
+                        [pa.array(got["anchor"].view(np.int64)), pa.array(got["context"].view(np.int64)), *(c.take(own) for c in batch.columns[1:]), pa.array(at)],
+                        names=names,
                     )
 
-    return docs.select("doc_id", "text", _check_bits(F.col("text")).alias("check")).mapInArrow(
-        run, "anchor long, context long, doc_id long, at long"
-    )
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def refined(docs: DataFrame, open_: DataFrame, shape: Shape) -> DataFrame:
-    """The contexts in ``open_`` (doc_id, at, sure) cut again, with what lies round the anchor.
+    """The contexts in ``open_`` (row, at, sure) cut again, with what lies round the anchor.
 
-    Returns anchor, doc_id, at, left (symbols before the anchor), around (their bytes and
-    those behind), sure.
+    Returns anchor, the ids of ``docs``, at, left (symbols before the anchor), around (their bytes
+    and those behind), sure.
     """
-    wanted = open_.groupBy("doc_id", F.expr(CHECK).alias("check")).agg(F.collect_list(F.struct("at", "sure")).alias("cut"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text", _check_bits(F.col("text")).alias("check"))
-    joined = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "check"]).select("doc_id", "text", "check", "cut")
-    schema = pa.schema([
-        ("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("left", pa.int32()), ("around", pa.binary()), ("sure", pa.bool_()),
-    ])
+    ids = docs.columns[1:]
+    wanted = open_.groupBy("row").agg(F.collect_list(F.struct("at", "sure")).alias("cut"))
+    joined = docs.join(wanted.hint("shuffle_hash"), "row").select("text", "cut", *ids)
+    names = ["anchor", *ids, "at", "left", "around", "sure"]
     w, k = shape.window, shape.fine
 
     def cut(batch):
-        values, offsets = shape.symbols(batch.column(1))
-        lists = batch.column(3)
+        values, offsets = shape.symbols(batch.column(0))
+        lists = batch.column(1)
         doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         at = lists.flatten().field("at").to_numpy()
         sure = lists.flatten().field("sure").to_numpy(zero_copy_only=False)
-        low, count = (at >> 8) & 0xFFFFFFFF, at & 255
+        low, count = at >> 8, at & 255
         start = offsets[doc] + low
         size = count + w - 1
         for a, b in sym.parts(np.r_[0, np.cumsum(size)], CUT):
@@ -122,26 +119,25 @@ def refined(docs: DataFrame, open_: DataFrame, shape: Shape) -> DataFrame:
         stop = begin + got["low"] + got["count"] + w - 1
         a, b = begin + got["low"], begin + got["place"]
         around = [own[i:j].tobytes() + own[j + k : e].tobytes() for i, j, e in zip(a.tolist(), b.tolist(), stop.tolist())]
-        check = np.asarray(batch.column(2))[doc[r]]
-        ids = batch.column(0).take(pa.array(doc[r]))
+        own_ids = [c.take(pa.array(doc[r])) for c in batch.columns[2:]]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(got["anchor"].view(np.int64)), ids, pa.array(_pack(check, low[r] + got["low"], got["count"])),
+                pa.array(got["anchor"].view(np.int64)), *own_ids, pa.array(_pack(low[r] + got["low"], got["count"])),
                 pa.array(left.astype(np.int32)), pa.array(around, pa.binary()), pa.array(sure[r]),
             ],
-            schema=schema,
+            names=names,
         )
 
     def run(batches):
         for batch in batches:
-            for a, b in sym.parts(sym.text_bytes(batch.column(1))[1]):
+            for a, b in sym.parts(sym.text_bytes(batch.column(0))[1]):
                 yield from cut(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns], names=batch.schema.names))
 
-    return joined.mapInArrow(run, "anchor long, doc_id long, at long, left int, around binary, sure boolean")
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in ["anchor", *ids, "at"]) + ", left int, around binary, sure boolean")
 
 
 def repeats(docs: DataFrame, shape: Shape, ordered: bool, compare: Callable) -> DataFrame:
-    """doc_id, check, low, count: runs of windows that repeat.
+    """row (``row_key``), low, count: runs of windows that repeat.
 
     ``ordered``: only windows that also start in a document with a smaller doc_id; otherwise
     windows that start anywhere else. ``compare(table, shape)`` is the operator's method for
@@ -149,27 +145,25 @@ def repeats(docs: DataFrame, shape: Shape, ordered: bool, compare: Callable) ->
     repeat. A null doc_id comes after all others here (2^63 - 1).
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
+    ids = ["row", "doc_id"] if ordered else ["row"]
+    keyed = docs.select("text", row_key().alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id")).select("text", *ids)
     every = store(contexts(keyed, shape))
     # Stored, so that both sides of the join are plain exchanges, which Spark can split.
     twice = store(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     shared = store(every.join(twice, "anchor"))
     discard(every, twice)
-    kinds = store(
-        shared.groupBy("anchor", "context").agg(
-            F.count("*").alias("times"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "at")).alias("one")
-        )
-    )
+    one = F.min("doc_id").alias("first") if ordered else F.min(F.struct("row", "at")).alias("one")
+    kinds = store(shared.groupBy("anchor", "context").agg(F.count("*").alias("times"), one))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     split = kinds.join(several, "anchor")
     if ordered:
         whole = shared.join(kinds.select("anchor", "context", "first"), ["anchor", "context"]).where("doc_id > first")
         open_ = shared.join(split.select("anchor", "context", "first"), ["anchor", "context"]).where("doc_id = first")
-        open_ = open_.select("doc_id", "at", F.lit(False).alias("sure"))
+        open_ = open_.select("row", "at", F.lit(False).alias("sure"))
     else:
         whole = shared.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"])
-        open_ = split.select("one.doc_id", "one.at", (F.col("times") > 1).alias("sure"))
-    whole = store(whole.select("doc_id", "at"))
+        open_ = split.select("one.row", "one.at", (F.col("times") > 1).alias("sure"))
+    whole = store(whole.select("row", "at"))
     open_ = store(open_)
     discard(shared, kinds)
     fine = store(refined(keyed, open_, shape))
@@ -177,28 +171,27 @@ def repeats(docs: DataFrame, shape: Shape, ordered: bool, compare: Callable) ->
     small, hot = groups.where(F.col("n") <= HOT).select("anchor"), groups.where(F.col("n") > HOT).select("anchor")
     tasks = max(partitions(spark), math.ceil(fine.count() / TASK))
     block = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("block")
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int64())])
 
     def run(table):
-        row, low, count = compare(table, shape)
-        at = table.column("at").to_numpy()[row]
-        at = _pack(at >> 40, ((at >> 8) & 0xFFFFFFFF) + low, count)
-        return pa.Table.from_arrays([table.column("doc_id").take(pa.array(row)), pa.array(at)], schema=schema)
+        place, low, count = compare(table, shape)
+        at = _pack((table.column("at").to_numpy()[place] >> 8) + low, count)
+        return pa.Table.from_arrays([table.column("row").take(pa.array(place)), pa.array(at)], names=["row", "at"])
 
-    grouped = fine.join(small, "anchor").select("*", block).groupBy("block").applyInArrow(lambda t: run(t), "doc_id long, at long")
+    grouped = fine.join(small, "anchor").select("*", block).groupBy("block").applyInArrow(lambda t: run(t), "row long, at long")
     found = store(whole.unionByName(grouped).unionByName(_by_window(fine.join(hot, "anchor"), shape, ordered)))
     discard(fine, open_, whole, groups)
-    return found.select("doc_id", F.expr(CHECK).alias("check"), F.expr(LOW).alias("low"), F.expr(COUNT).alias("count"))
+    return found.select("row", F.expr(LOW).alias("low"), F.expr(COUNT).alias("count"))
 
 
 def _by_window(fine: DataFrame, shape: Shape, ordered: bool) -> DataFrame:
     """The same question for anchors in very many contexts: one key per whole window."""
     unit = 8 if shape.words else 1
     size = (shape.window - shape.fine) * unit
+    ids = ["row", "doc_id"] if ordered else ["row"]
     windows = fine.select(
-        "anchor", "doc_id", "at", "sure", "left", "around", F.explode(F.expr(f"sequence(0L, {COUNT} - 1)")).alias("nth")
+        "anchor", *ids, "at", "sure", "left", "around", F.explode(F.expr(f"sequence(0L, {COUNT} - 1)")).alias("nth")
     ).select(
-        "doc_id", "at", "sure", "nth",
+        *ids, "at", "sure", "nth",
         F.sha2(F.concat(F.col("anchor").cast("string").cast("binary"), F.lit(b"|"), (F.col("left") - F.col("nth")).cast("string").cast("binary"),
                         F.lit(b"|"), F.col("around").substr((F.col("nth") * unit + 1).cast("int"), F.lit(size))), 256).alias("window"),
     )
@@ -208,12 +201,13 @@ def _by_window(fine: DataFrame, shape: Shape, ordered: bool) -> DataFrame:
     else:
         seen = windows.groupBy("window").agg(F.count("*").alias("n"), F.max("sure").alias("any")).where("n > 1 or any").select("window")
         again = windows.join(seen, "window")
-    return again.select("doc_id", F.expr(f"(shiftleft(shiftrightunsigned(at, 40), 40) | shiftleft({LOW} + nth, 8) | 1L)").alias("at"))
+    return again.select("row", F.expr(f"(shiftleft({LOW} + nth, 8) | 1L)").alias("at"))
 
 
 def by_anchor(table: pa.Table):
-    """Row numbers of each anchor's contexts, in order of doc_id, then place."""
-    anchor, doc, at = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "at"))
+    """Row numbers of each anchor's contexts, in order of doc_id (or row), then place."""
+    first = "doc_id" if "doc_id" in table.column_names else "row"
+    anchor, doc, at = (table.column(c).to_numpy() for c in ("anchor", first, "at"))
     order = np.lexsort((at, doc, anchor))
     cuts = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
@@ -238,14 +232,10 @@ def remove(docs: DataFrame, found: DataFrame, shape: Shape, text: bool = False)
     Returns doc_id, n (symbols), n_removed, n_spans, kept_sha256, and with ``text`` all
     columns of ``docs`` with the kept text in place of theirs.
     """
-    spans = found.groupBy("doc_id", "check").agg(F.collect_set(F.struct("low", "count")).alias("_spans"))
+    spans = found.groupBy("row").agg(F.collect_set(F.struct("low", "count")).alias("_spans"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if text else []
-    rows = docs.select(
-        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_key"), _check_bits(F.col("text")).alias("_check"), "doc_id", "text", *rest
-    )
-    joined = rows.join(
-        spans.select(F.col("doc_id").alias("_key"), F.col("check").alias("_check"), "_spans").hint("shuffle_hash"), ["_key", "_check"], "left"
-    ).select("doc_id", "text", *rest, "_spans")
+    rows = docs.select(row_key().alias("_row"), "doc_id", "text", *rest)
+    joined = rows.join(spans.select(F.col("row").alias("_row"), "_spans").hint("shuffle_hash"), "_row", "left").select("doc_id", "text", *rest, "_spans")
     counted = "n long, n_removed long, n_spans long, kept_sha256 string"
     fields = docs.select("doc_id", *rest).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [counted] + ["text string"] * text)
