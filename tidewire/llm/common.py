@@ -37,14 +37,32 @@ def store(df: DataFrame) -> DataFrame:
     return stored
 
 
+def store_buckets(df: DataFrame, key: str) -> DataFrame:
+    """``store`` as a table whose rows lie in hash buckets of ``key``.
+
+    Grouping the stored rows by ``key`` moves none of them. ``discard`` drops the table.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"table_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(name)
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)
+    stored = spark.table(name)
+    stored._stored_at, stored._name = path, name
+    return stored
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads, and the shuffle files nobody holds."""
     for t in tables:
+        if hasattr(t, "_name"):
+            t.sparkSession.sql(f"DROP TABLE {t._name}")
         at, fs = _place(t.sparkSession, t._stored_at)
         fs.delete(at, True)
-    spark = tables[0].sparkSession
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def _place(spark: SparkSession, path: str):

@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import symbols as sym
-from tidewire.llm.common import discard, partitions, store
+from tidewire.llm.common import discard, partitions, store, store_buckets
+from tidewire.session import small
 
 ORDER = 4
 #: Symbols: 256 bytes and the edge of a text. Nine bits each, so a gram fits 45 bits.
 EDGE, ALPHABET, BITS = 256, 257, 9
 #: Bytes of text in a block (one longer text is a block), symbols looked at in one go.
-BLOCK, CHUNK = 8 << 20, 1 << 20
+BLOCK, CHUNK = 32 << 20, 1 << 20
 #: Distinct grams per task of the trie.
 LEAVES = 500_000
 GRAM, WORD = 0, 1
@@ -57,6 +58,12 @@ def _lowered(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return (sym._LOWER[raw] if lower else raw), offsets
 
 
+def _parts(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs [a, b) of texts with about ``CHUNK`` bytes, their bytes and offsets."""
+    for a, b in sym.parts(sym.text_bytes(column)[1], CHUNK):
+        yield a, b, *_lowered(column.slice(a, b - a), lower)
+
+
 def grams(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pieces of (gram, number of its text) over all predicted symbols: each text's bytes and its end."""
     sizes = np.diff(offsets)
@@ -123,11 +130,12 @@ def posted(rows: DataFrame, lower: bool) -> DataFrame:
                     yield from emit()
                 now = int(block[a])
                 train = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
-                raw, offsets = _lowered(batch.column(0).slice(a, b - a), lower)
-                for gram, text in grams(raw, offsets):
-                    add(GRAM, gram, train[text])
-                hashes, first = sym.word_hashes(raw, offsets)
-                add(WORD, hashes.view(np.int64), np.repeat(train, np.diff(first)))
+                for x, y, raw, offsets in _parts(batch.column(0).slice(a, b - a), lower):
+                    own = train[x:y]
+                    for gram, text in grams(raw, offsets):
+                        add(GRAM, gram, own[text])
+                    hashes, first = sym.word_hashes(raw, offsets)
+                    add(WORD, hashes.view(np.int64), np.repeat(own, np.diff(first)))
         if now is not None:
             yield from emit()
 
@@ -234,9 +242,11 @@ def score(docs: DataFrame, train: Column, lower: bool = True) -> DataFrame:
     are compared by 64-bit hashes. A text of one row must fit a task.
     """
     spark = docs.sparkSession
-    rows = store(blocks(docs, train))
+    # Bucketed by block, so that the texts need not move again when the answers come back.
+    rows = store_buckets(blocks(docs, train), "block")
     posts = store(posted(rows, lower))
     counts = store(posts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    discard()
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     ends = rows.where("train").count()
     n, kinds = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -244,11 +254,12 @@ def score(docs: DataFrame, train: Column, lower: bool = True) -> DataFrame:
     below = total + 0.5 * (distinct + 1)
     leaves = counts.where(F.col("kind") == GRAM).select("key", "n")
     tasks = max(partitions(spark), math.ceil(leaves.count() / LEAVES))
-    values = _leaf_values(leaves, tasks).select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value").unionByName(
-        words.select(F.lit(WORD).cast("byte").alias("kind"), "key", F.col("n").cast("double").alias("value"))
+    # Distinct grams are few, but only their measured size decides whether they are broadcast.
+    values = small(_leaf_values(leaves, tasks))
+    asked = posts.select("kind", "key", "block")
+    answers = asked.where(F.col("kind") == GRAM).join(values, "key").select("block", "kind", "key", "value").unionByName(
+        asked.where(F.col("kind") == WORD).join(words, "key").select("block", "kind", "key", F.col("n").cast("double").alias("value"))
     )
-    answers = store(posts.select("kind", "key", "block").join(store(values), ["kind", "key"]).select("block", "kind", "key", "value"))
-    discard(posts, counts)
 
     def add_up(texts: pa.Table, known: pa.Table) -> pa.Table:
         table = {}
@@ -259,35 +270,39 @@ def score(docs: DataFrame, train: Column, lower: bool = True) -> DataFrame:
             table[kind] = key, value[first]
         column = texts.column("text").combine_chunks()
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-        raw, offsets = _lowered(column, lower)
         m = len(column)
-        model, symbols = np.zeros(m), np.zeros(m, dtype=np.int64)
-        key, value = table[GRAM]
-        for gram, text in grams(raw, offsets):
-            if not len(gram):
-                continue
-            # One sort brings equal grams of a text together; a text's number fits 19 bits.
-            base = int(text[0])
-            both = np.sort(gram.astype(np.uint64) << np.uint64(19) | (text - base).astype(np.uint64))
-            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-            times, both = np.diff(np.r_[first, len(both)]), both[first]
-            own, whose = (both >> np.uint64(19)).astype(np.int64), (both & np.uint64((1 << 19) - 1)).astype(np.int64) + base
-            change = np.r_[True, own[1:] != own[:-1]]
-            found = value[np.searchsorted(key, own[change])][np.cumsum(change) - 1]
-            model += np.bincount(whose, weights=times * found, minlength=m)
-            symbols += np.bincount(whose, weights=times, minlength=m).astype(np.int64)
-        hashes, first = sym.word_hashes(raw, offsets)
-        key, value = table[WORD]
-        distinct_, which = np.unique(hashes.view(np.int64), return_inverse=True)
-        count = value[np.searchsorted(key, distinct_)][which] if len(hashes) else np.zeros(0)
-        whose = np.repeat(np.arange(m), np.diff(first))
-        plain = np.bincount(whose, weights=np.log10((count + 0.5) / below), minlength=m) + math.log10((ends + 0.5) / below)
-        known_ = np.bincount(whose, weights=count > 0, minlength=m).astype(np.int64) + (ends > 0)
+        model, plain = np.zeros(m), np.full(m, math.log10((ends + 0.5) / below))
+        symbols, tokens, seen = np.zeros(m, dtype=np.int64), np.ones(m, dtype=np.int64), np.full(m, int(ends > 0))
+        for a, b, raw, offsets in _parts(column, lower):
+            key, value = table[GRAM]
+            for gram, text in grams(raw, offsets):
+                if not len(gram):
+                    continue
+                # One sort brings equal grams of a text together; a text's number fits 19 bits.
+                base = int(text[0])
+                both = np.sort(gram.astype(np.uint64) << np.uint64(19) | (text - base).astype(np.uint64))
+                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+                times, both = np.diff(np.r_[first, len(both)]), both[first]
+                own, whose = (both >> np.uint64(19)).astype(np.int64), (both & np.uint64((1 << 19) - 1)).astype(np.int64) + base
+                change = np.r_[True, own[1:] != own[:-1]]
+                found = value[np.searchsorted(key, own[change])][np.cumsum(change) - 1]
+                model[a:b] += np.bincount(whose, weights=times * found, minlength=b - a)
+                symbols[a:b] += np.bincount(whose, weights=times, minlength=b - a).astype(np.int64)
+            hashes, first = sym.word_hashes(raw, offsets)
+            key, value = table[WORD]
+            kinds_, which = np.unique(hashes.view(np.int64), return_inverse=True)
+            count = value[np.searchsorted(key, kinds_)][which] if len(hashes) else np.zeros(0)
+            whose = np.repeat(np.arange(b - a), np.diff(first))
+            plain[a:b] += np.bincount(whose, weights=np.log10((count + 0.5) / below), minlength=b - a)
+            seen[a:b] += np.bincount(whose, weights=count > 0, minlength=b - a).astype(np.int64)
+            tokens[a:b] += np.diff(first)
         return pa.table({
-            "doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": np.diff(first).astype(np.int64) + 1,
-            "n_known": known_, "train_tokens": np.full(m, total, dtype=np.int64), "base_score": plain, "n_symbols": symbols, "score": model,
+            "doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": tokens,
+            "n_known": seen, "train_tokens": np.full(m, total, dtype=np.int64), "base_score": plain, "n_symbols": symbols, "score": model,
         })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, n_symbols long, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: add_up(t, a), schema)
+    scored = store(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: add_up(t, a), schema))
+    discard(rows, posts, counts)
+    return scored
