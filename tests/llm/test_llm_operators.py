@@ -153,6 +153,35 @@ def test_jaccard_ties_small_blocks(spark, monkeypatch):
     assert (None, want[0][1]) in got and want[31][1] == 30
 
 
+def test_jaccard_of_many_near_copies_about_the_threshold(spark, monkeypatch):
+    """Tiles far above a block: drawn pivots settle them, and no link is left out."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for i in range(700):
+        body = list(base)
+        for _ in range(rng.randrange(0, 8)):
+            body[rng.randrange(len(body))] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(body)
+    passage = words(rng, 60, 10**6)
+    for i in range(700, 900):
+        texts[i] = passage + " " + words(rng, 60, 10**6)
+    held = []
+    place = ngram_join.candidates
+
+    def watched(tiled, roots, *rest):
+        held.append(tiled.join(roots, "node", "left").select("node", "root").distinct().groupBy("root").count().agg(F.max("count")).first()[0])
+        return place(tiled, roots, *rest)
+
+    monkeypatch.setattr(ngram_join, "candidates", watched)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame).collect()}
+    assert got == brute.jaccard(texts)
+    # Most copies share a component before blocks are placed.
+    assert held[0] > 400
+
+
 def test_keep_one_row_of_each_component(spark):
     rng = random.Random(11)
     a, b, c, d = (words(rng, 40, 10**6) for _ in range(4))

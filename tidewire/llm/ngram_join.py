@@ -22,6 +22,8 @@ NEVER = np.iinfo(np.int64).max
 MEET, LEAST = 48, 11
 #: Documents of one tile that are compared in a task with those of one other block.
 BLOCK = 512
+#: Pivots drawn per large tile and round.
+TRIED = 4
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -264,6 +266,41 @@ def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: in
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def pivots(tiled: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each set with the pivot, of another component, that it meets in most tiles.
+
+    ``TRIED`` draws name a pivot per tile each, so rows grow with the places in tiles and
+    never with their pairs.
+    """
+    keys = ["token", "band"]
+    known = tiled.join(roots, "node", "left").select(*keys, "node", F.coalesce("root", "node").alias("root"))
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(seed + i)).alias("h"), F.col("node").alias("b"), F.col("root").alias("pivot_root"))) for i in range(TRIED)]
+    drawn = known.groupBy(*keys).agg(F.array(*draws).alias("drawn"))
+    met = known.join(drawn, keys).select(F.col("node").alias("a"), "root", F.explode("drawn").alias("p")).where("root != p.pivot_root")
+    counted = met.groupBy("a", F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    return counted.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).where("m.n > 3").select("a", F.col("m.b").alias("b"))
+
+
+def settle_large(tiled: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``links`` with those to pivots in the tiles of more than ``BLOCK`` rows.
+
+    A large group of near copies would meet in all its tiles, block by block. Each round every set
+    of another component than its pivots' is held against the best of them, until a round links nothing:
+    what is still apart then is little, or really different.
+    """
+    large = tiled.groupBy("token", "band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("token", "band")
+    held = store(tiled.join(large, ["token", "band"]))
+    seed = 0
+    while True:
+        found = store(pivots(held, components(links), seed))
+        fresh = store(verified(found, sets, percent))
+        if fresh.isEmpty():
+            discard(held, found, fresh)
+            return links
+        links, seed = store(links.unionByName(fresh)), seed + TRIED
+        discard(found, fresh)
+
+
 def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -274,17 +311,19 @@ def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
 
     Sets meet through their smallest hashes (``meeting_points``), in tiles of one hash and one band of
     sizes. A first round links each set with its tile's first one, where they meet most
-    often; a second lets every set still apart offer its best partner; the last one checks
+    often; in large tiles drawn pivots follow until they link nothing (``settle_large``); then
+    every set still apart offers its best partner; the last round checks
     all pairs of different components whose bitmaps allow a link. So groups of near copies
     settle before pairs are formed, and no link between components is left out. Shingles
     are compared by 64-bit hashes. Repeated rows are alike; rows that share a doc_id with
     different texts count one by one; a null doc_id is never the smallest one.
     """
     labelled = labels(docs, percent, n, F.lit(0))
-    lowest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
-    return labelled.join(lowest, "root", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id")
-    )
+    named = labelled.where("root is not null")
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    found = named.join(lowest, "root").select("doc_id", "size", F.coalesce("lowest", "doc_id").alias("component_id"))
+    alone = labelled.where("root is null").select("doc_id", "size", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumnRenamed("size", "n_shingles")
 
 
 def labels(docs: DataFrame, percent: int, n: int, key: Column) -> DataFrame:
@@ -307,15 +346,16 @@ def labels(docs: DataFrame, percent: int, n: int, key: Column) -> DataFrame:
     first = tiled.where("not upper").groupBy("token", "band").agg(F.min("node").alias("b"))
     meetings = tiled.join(first, ["token", "band"]).where("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
     chosen = meetings.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).where("m.n > 3").select("a", F.col("m.b").alias("b"))
-    links = store(verified(store(chosen), sets, percent))
+    links = settle_large(tiled, store(verified(store(chosen), sets, percent)), sets, percent)
     for best in (True, False):
         roots = components(links)
         found = store(candidates(tiled, roots, signs, percent, best))
         links = store(links.unionByName(verified(found, sets, percent)))
         discard(found)
     roots = components(links)
-    labelled = rows.join(roots, "node", "left").select("doc_id", "row_key", "size", F.coalesce("root", "node").alias("root"))
-    labelled = store(labelled)
+    # Rows without words would all meet under one null.
+    named = rows.where("node is not null").join(roots, "node", "left").select("doc_id", "row_key", "size", F.coalesce("root", "node").alias("root"))
+    labelled = store(named.unionByName(rows.where("node is null").select("doc_id", "row_key", "size", F.col("node").alias("root"))))
     discard(rows, meeting, tiled, sets, signs)
     return labelled
 

@@ -51,6 +51,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component goes first, so that no square runs over or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_duplicates(rows: DataFrame, cosine: float = 0.98, width: float = 1.0, recall: float = 0.999, seed: int = 11) -> DataFrame:
     """Per row of ``rows`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -97,12 +103,14 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, width: float = 1.0, r
         distinct.select("node", "copies").join(degree, "node", "left").join(roots, "node", "left")
         .select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
-    rooted = store(ids.join(nodes, "node", "left"))
-    lowest = rooted.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("lowest"))
-    out = rooted.join(lowest, "root", "left")
+    rooted = store(ids.where("node is not null").join(nodes, "node"))
+    lowest = rooted.groupBy("root").agg(F.min("vec_id").alias("lowest"))
+    # Rows that link with nothing would all meet under one null.
+    alone = ids.where("node is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("lowest"))
+    out = rooted.join(lowest, "root").select("vec_id", "n_links", "lowest").unionByName(alone)
     component = F.coalesce("lowest", "vec_id")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
+        "vec_id", F.col("n_links").cast("bigint").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
 
@@ -113,8 +121,7 @@ def _blocks(vectors: DataFrame, dim: int, projections: int, tables: int, cosine:
 
     def hash_(batches):
         for batch in batches:
-            unit = _matrix(batch.column(1))
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            unit = _units(_matrix(batch.column(1)))
             flat = pa.array(codes(unit).ravel())
             offsets = pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, flat)], names=["node", "label", "codes"])
@@ -135,8 +142,7 @@ def _blocks(vectors: DataFrame, dim: int, projections: int, tables: int, cosine:
 
     def compare(key, table):
         t, low, high = (key[i].as_py() for i in (1, 3, 4))
-        x = _matrix(table.column("embedding").combine_chunks())
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _units(_matrix(table.column("embedding").combine_chunks()))
         code = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(x), -1)[:, :t]
         node, copies, part = (table.column(c).to_numpy() for c in ("node", "copies", "part"))
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
