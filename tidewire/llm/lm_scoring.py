@@ -27,7 +27,7 @@ ORDER = 4
 #: Symbols: 256 bytes and the edge of a text. Nine bits each, so a gram fits 45 bits.
 EDGE, ALPHABET, BITS = 256, 257, 9
 #: Bytes of text in a block (one longer text is a block), symbols looked at in one go.
-BLOCK, CHUNK = 32 << 20, 1 << 20
+BLOCK, CHUNK = 16 << 20, 1 << 18
 #: Distinct grams per task of the trie.
 LEAVES = 500_000
 GRAM, WORD = 0, 1
@@ -229,6 +229,47 @@ def _leaf_values(leaves: DataFrame, tasks: int) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(lambda t: answer(t), "key long, value double")
 
 
+def _add_up(texts: pa.Table, known: pa.Table, lower: bool, ends: int, total: int, below: float) -> pa.Table:
+    """The scores of one block's texts from the answers for its grams and words."""
+    table = {}
+    for kind in (GRAM, WORD):
+        own = known.filter(pa.compute.equal(known.column("kind"), kind))
+        key, value = own.column("key").to_numpy(), own.column("value").to_numpy()
+        key, first = np.unique(key, return_index=True)
+        table[kind] = key, value[first]
+    column = texts.column("text").combine_chunks()
+    m = len(column)
+    model, plain = np.zeros(m), np.full(m, math.log10((ends + 0.5) / below))
+    symbols, tokens, seen = np.zeros(m, dtype=np.int64), np.ones(m, dtype=np.int64), np.full(m, int(ends > 0))
+    for a, b, raw, offsets in _parts(column, lower):
+        key, value = table[GRAM]
+        for gram, text in grams(raw, offsets):
+            if not len(gram):
+                continue
+            # One sort brings equal grams of a text together; a text's number fits 19 bits.
+            base = int(text[0])
+            both = np.sort(gram.astype(np.uint64) << np.uint64(19) | (text - base).astype(np.uint64))
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            times, both = np.diff(np.r_[first, len(both)]), both[first]
+            own, whose = (both >> np.uint64(19)).astype(np.int64), (both & np.uint64((1 << 19) - 1)).astype(np.int64) + base
+            change = np.r_[True, own[1:] != own[:-1]]
+            found = value[np.searchsorted(key, own[change])][np.cumsum(change) - 1]
+            model[a:b] += np.bincount(whose, weights=times * found, minlength=b - a)
+            symbols[a:b] += np.bincount(whose, weights=times, minlength=b - a).astype(np.int64)
+        hashes, first = sym.word_hashes(raw, offsets)
+        key, value = table[WORD]
+        kinds_, which = np.unique(hashes.view(np.int64), return_inverse=True)
+        count = value[np.searchsorted(key, kinds_)][which] if len(hashes) else np.zeros(0)
+        whose = np.repeat(np.arange(b - a), np.diff(first))
+        plain[a:b] += np.bincount(whose, weights=np.log10((count + 0.5) / below), minlength=b - a)
+        seen[a:b] += np.bincount(whose, weights=count > 0, minlength=b - a).astype(np.int64)
+        tokens[a:b] += np.diff(first)
+    return pa.table({
+        "doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": tokens,
+        "n_known": seen, "train_tokens": np.full(m, total, dtype=np.int64), "base_score": plain, "n_symbols": symbols, "score": model,
+    })
+
+
 def score(docs: DataFrame, train: Column, lower: bool = True) -> DataFrame:
     """Per row: doc_id, train, n_tokens, n_known, train_tokens, base_score, n_symbols, score.
 
@@ -260,49 +301,9 @@ def score(docs: DataFrame, train: Column, lower: bool = True) -> DataFrame:
     answers = asked.where(F.col("kind") == GRAM).join(values, "key").select("block", "kind", "key", "value").unionByName(
         asked.where(F.col("kind") == WORD).join(words, "key").select("block", "kind", "key", F.col("n").cast("double").alias("value"))
     )
-
-    def add_up(texts: pa.Table, known: pa.Table) -> pa.Table:
-        table = {}
-        for kind in (GRAM, WORD):
-            own = known.filter(pa.compute.equal(known.column("kind"), kind))
-            key, value = own.column("key").to_numpy(), own.column("value").to_numpy()
-            key, first = np.unique(key, return_index=True)
-            table[kind] = key, value[first]
-        column = texts.column("text").combine_chunks()
-        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-        m = len(column)
-        model, plain = np.zeros(m), np.full(m, math.log10((ends + 0.5) / below))
-        symbols, tokens, seen = np.zeros(m, dtype=np.int64), np.ones(m, dtype=np.int64), np.full(m, int(ends > 0))
-        for a, b, raw, offsets in _parts(column, lower):
-            key, value = table[GRAM]
-            for gram, text in grams(raw, offsets):
-                if not len(gram):
-                    continue
-                # One sort brings equal grams of a text together; a text's number fits 19 bits.
-                base = int(text[0])
-                both = np.sort(gram.astype(np.uint64) << np.uint64(19) | (text - base).astype(np.uint64))
-                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-                times, both = np.diff(np.r_[first, len(both)]), both[first]
-                own, whose = (both >> np.uint64(19)).astype(np.int64), (both & np.uint64((1 << 19) - 1)).astype(np.int64) + base
-                change = np.r_[True, own[1:] != own[:-1]]
-                found = value[np.searchsorted(key, own[change])][np.cumsum(change) - 1]
-                model[a:b] += np.bincount(whose, weights=times * found, minlength=b - a)
-                symbols[a:b] += np.bincount(whose, weights=times, minlength=b - a).astype(np.int64)
-            hashes, first = sym.word_hashes(raw, offsets)
-            key, value = table[WORD]
-            kinds_, which = np.unique(hashes.view(np.int64), return_inverse=True)
-            count = value[np.searchsorted(key, kinds_)][which] if len(hashes) else np.zeros(0)
-            whose = np.repeat(np.arange(b - a), np.diff(first))
-            plain[a:b] += np.bincount(whose, weights=np.log10((count + 0.5) / below), minlength=b - a)
-            seen[a:b] += np.bincount(whose, weights=count > 0, minlength=b - a).astype(np.int64)
-            tokens[a:b] += np.diff(first)
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": tokens,
-            "n_known": seen, "train_tokens": np.full(m, total, dtype=np.int64), "base_score": plain, "n_symbols": symbols, "score": model,
-        })
-
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, n_symbols long, score double"
-    scored = store(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: add_up(t, a), schema))
+    both = rows.groupBy("block").cogroup(answers.groupBy("block"))
+    scored = store(both.applyInArrow(lambda texts, known: _add_up(texts, known, lower, ends, total, below), schema))
     discard(rows, posts, counts)
     return scored
