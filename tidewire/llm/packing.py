@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,9 @@ from tidewire.llm.common import partitions, store
 EOS = 2
 #: Rows handed to the tokenizer at once.
 TOKENIZED_ROWS = 64
+#: Characters of white space in a row from which a text goes to the slower library: the
+#: pattern's look-ahead keeps one step of its stack for each and fails near a million.
+LONG_SPACE = 200_000
 
 
 def _encoder(vocabulary: str):
@@ -24,7 +28,8 @@ def _encoder(vocabulary: str):
 
     The merges run in tiktoken, which gives the same ids several times faster: the ids
     are the ranks of the merges, the split pattern is the file's, and the strings of its
-    added tokens are one id each wherever they stand in a text.
+    added tokens are one id each wherever they stand in a text. Returns a function from a text to
+    its ids.
     """
     import json
 
@@ -40,7 +45,20 @@ def _encoder(vocabulary: str):
     special = {t["content"]: t["id"] for t in made["added_tokens"]}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in made["model"]["vocab"].items() if piece not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    long_space = re.compile(rf"\s{{{LONG_SPACE}}}")
+    slow = None
+
+    def encode(text: str) -> list[int]:
+        nonlocal slow
+        if len(text) < LONG_SPACE or not long_space.search(text):
+            return fast.encode(text, allowed_special="all")
+        from tokenizers import Tokenizer
+
+        slow = slow or Tokenizer.from_file(vocabulary)
+        return slow.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def tokenize(docs: DataFrame, vocabulary: str, width: int = 1024) -> DataFrame:
@@ -53,13 +71,13 @@ def tokenize(docs: DataFrame, vocabulary: str, width: int = 1024) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encode = _encoder(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, TOKENIZED_ROWS):
                 part = batch.slice(at, TOKENIZED_ROWS)
                 out: list[tuple] = []
                 for doc, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
-                    ids = np.array([*encoder.encode(text or "", allowed_special="all"), EOS], dtype="<u4")
+                    ids = np.array([*encode(text or ""), EOS], dtype="<u4")
                     first = len(ids) if len(ids) <= width else len(ids) % width or width
                     cuts = [0, *range(first, len(ids), width), len(ids)]
                     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
