@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import clusters, features, windows
+from tidewire.operators import clusters, density, features, windows
 from tidewire.operators.silhouette import silhouette
 from tidewire.operators.windows import Lookback
 from tidewire.plans import cluster_features
@@ -85,9 +85,69 @@ def test_sweeps(spark):
     assert (chosen[3]["eps"], chosen[3]["size_min"]) == (0.1, 5)
 
 
-def test_adaptive_grid():
-    grid = clusters.adaptive_eps_grid(0.1)
-    assert len(grid) == 90 and grid[:2] == pytest.approx([0.1, 0.11]) and grid[-1] < 1
+@pytest.mark.parametrize("rows", [3072, 17])
+def test_adaptive_search(spark, rows):
+    """Each window against the plain search: shrink by ten until all noise, then grow by tenths."""
+    tight = blobs(60, seed=12, noise=0.002)
+    groups = {1: blobs(80, seed=3), 2: tight, 3: np.eye(6), 4: np.tile([[1.0, 0.0]], (7, 1)), 5: np.eye(2)}
+    labels, chosen = clusters.adaptive_sweep(points_of(spark, groups), 4, rows=rows)
+    labels, chosen = labels.cache(), {r["window"]: r for r in chosen.collect()}
+    for w, x in groups.items():
+        eps, shrinks = 0.1, 0
+        while set(brute.dbscan(x, eps, 4)) != {-1} and shrinks < 12:
+            shrinks += 1
+            eps = 0.1 / 10.0**shrinks
+        if shrinks == 12:
+            assert chosen[w]["eps"] == 0.1 and chosen[w]["eps_min"] is None
+            best = 0.1
+        else:
+            best, most = eps, 1
+            # Numbers of labels change at a distance only: steps in between are all alike.
+            d = brute.cosine(x, x)
+            for k in sorted({max(0, int(np.ceil((v - eps) / (eps * 0.1)))) for v in d.ravel()}):
+                e = eps + k * (eps * 0.1)
+                if e < 1 and len(set(brute.dbscan(x, e, 4))) > most:
+                    best, most = e, len(set(brute.dbscan(x, e, 4)))
+            assert chosen[w]["eps_min"] == pytest.approx(eps) and chosen[w]["nb_cluster"] == most
+            assert chosen[w]["eps"] == pytest.approx(best)
+        assert (labels_of(labels, len(x), w) == brute.dbscan(x, best, 4)).all()
+    assert chosen[2]["eps_min"] < 0.1
+
+
+@pytest.mark.parametrize("rows", [3072, 17])
+def test_forest_has_the_clusters_of_every_eps(spark, rows):
+    groups = {1: blobs(90, seed=1), 2: blobs(60, seed=2), 3: np.eye(6), 4: np.tile([[1.0, 0.0]], (30, 1)), 5: np.ones((1, 3))}
+    grid = [0.3, 0.05, 0.12, 0.9, 0.0]
+    for size in (1, 4):
+        out = clusters.forest_eps(points_of(spark, groups), grid, size, rows=rows).cache()
+        for w, x in groups.items():
+            for p, eps in enumerate(grid):
+                got = labels_of(out.filter(F.col("param") == p), len(x), w)
+                assert (got == brute.dbscan(x, eps, size)).all(), (w, eps, size)
+
+
+def test_spanning_edges_are_minimal():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (2, 2), (9, 9), (5, 8), (1, 4), (30, 30)):
+        same = n == m
+        weight = rng.integers(0, 6, size=(n, m)).astype(float)
+        weight = np.maximum(weight, weight.T) if same else weight
+        u, v, w = density.spanning_edges(weight, same)
+        total = n if same else n + m
+        edges = sorted((weight[i, j], i, j if same else n + j) for i in range(n) for j in range(m) if not same or i < j)
+        root = list(range(total))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        want = 0.0
+        for cost, i, j in edges:
+            if find(i) != find(j):
+                root[find(i)] = find(j)
+                want += cost
+        assert len(w) == total - 1 and w.sum() == want
 
 
 @pytest.mark.parametrize("rows", [1024, 9])
@@ -168,9 +228,10 @@ def test_windows_against_masks(spark):
     assert all(counts[i] == brute.window(t, t[i], zero.span, 0).sum() for i in anchors)
 
 
-@pytest.mark.parametrize("rows, whole", [(3072, 8192), (23, 20)])
-def test_rolling_features_against_the_loop(spark, monkeypatch, rows, whole):
-    monkeypatch.setattr(features, "IN_ONE_TASK", whole)
+@pytest.mark.parametrize("rows, anchors, most", [(3072, 128, 512), (23, 3, 512), (23, 3, 2)])
+def test_rolling_features_against_the_loop(spark, monkeypatch, rows, anchors, most):
+    monkeypatch.setattr(features, "MOST_SLICES", most)
+    monkeypatch.setattr(features.window_features, "__defaults__", (*features.window_features.__defaults__[:-1], anchors))
     n, look, eps, size = 150, Lookback(days=2, horizon=40, min_news=45), 0.08, 3
     t, x = timeline(n, 6, 9), blobs(n, k=4, d=4, seed=9)
     rng = np.random.default_rng(10)
@@ -210,11 +271,9 @@ def test_anchor_return_can_be_left_out(spark):
     members = spark.createDataFrame(rows, "chain_id long, id long, t long, label int, embedding array<double>, feat_ret_5min double")
     at = members.filter("id = 3").select("chain_id", "id", "t", "label")
     for flag, mean in ((False, 1.5), (True, 1.0)):
-        for whole in (8192, 2):
-            features.IN_ONE_TASK = whole
-            r = features.window_features(at, members, look, ["feat_ret_5min"], 2, exclude_anchor_returns=flag).first()
+        for rows in (2048, 2):
+            r = features.window_features(at, members, look, ["feat_ret_5min"], 2, exclude_anchor_returns=flag, rows=rows).first()
             assert r["feat_ret_5min_mean"] == mean and r["nb_news"] == 4 and r["feat_ret_5min_std"] is not None
-    features.IN_ONE_TASK = 8192
 
 
 def test_kmeans_rolls_with_a_fit_per_article(spark):

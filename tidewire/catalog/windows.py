@@ -146,6 +146,56 @@ def _(spark, d):
         "window", "node", F.col("label").cast("bigint").alias("label"), "eps", "nb_cluster")
 
 
+@query("forest_eps", f"""WITH RECURSIVE {DBSCAN_SQL} SELECT win AS "window", param, node, label FROM labelled""")
+def _(spark, d):
+    """The labels of all 33 eps from one spanning forest."""
+    out = clusters.forest_eps(refit_points(spark, d), GRID, SIZE_MIN)
+    return out.select("window", "param", "node", F.col("label").cast("bigint").alias("label"))
+
+
+@query("forest_eps_blocks", f"""WITH RECURSIVE {DBSCAN_SQL} SELECT win AS "window", param, node, label FROM labelled""")
+def _(spark, d):
+    """The same from windows cut into blocks, whose forests are put together."""
+    out = clusters.forest_eps(refit_points(spark, d), GRID, SIZE_MIN, rows=100)
+    return out.select("window", "param", "node", F.col("label").cast("bigint").alias("label"))
+
+
+# The radii at which a window's label number can rise: the first step at or above a core distance.
+ADAPTIVE_SQL = f"""{POINTS_SQL},
+reach AS MATERIALIZED (SELECT win, u, list_sort(list(dist))[{SIZE_MIN}] AS core FROM nbr GROUP BY win, u),
+starts AS (SELECT win, CASE WHEN min(core) > 1e-12 THEN list_filter(list_transform(range(0, 13), lambda i: 0.1::DOUBLE / pow(10::DOUBLE, i)),
+  lambda r: r < min(core))[1] END AS low FROM reach GROUP BY win),
+steps AS (SELECT DISTINCT win, low, CASE WHEN k > 0 AND low + (k - 1) * (low * 0.1::DOUBLE) >= core THEN k - 1 WHEN low + k * (low * 0.1::DOUBLE) < core THEN k + 1 ELSE k END AS param
+  FROM (SELECT win, low, core, greatest(0, CAST(ceil((core - low) / (low * 0.1::DOUBLE)) AS BIGINT)) AS k FROM starts JOIN reach USING (win) WHERE low IS NOT NULL)),
+params AS MATERIALIZED (SELECT win, param, low + param * (low * 0.1::DOUBLE) AS eps FROM steps WHERE low + param * (low * 0.1::DOUBLE) < 1
+  UNION SELECT win, 0, coalesce(low, 0.1) FROM starts),
+core AS MATERIALIZED (SELECT win, param, u, eps FROM reach JOIN params USING (win) WHERE core <= eps),
+edges AS MATERIALIZED (SELECT n.win, a.param, n.u, n.w FROM nbr n JOIN core a ON a.win = n.win AND a.u = n.u AND n.dist <= a.eps
+  JOIN core b ON b.win = n.win AND b.param = a.param AND b.u = n.w),
+comp(win, param, u, root) USING KEY (win, param, u) AS (SELECT win, param, u, u FROM core
+  UNION (SELECT e.win, e.param, e.w, min(r.root) FROM comp r JOIN edges e ON e.win = r.win AND e.param = r.param AND e.u = r.u
+    JOIN recurring.comp c ON c.win = e.win AND c.param = e.param AND c.u = e.w WHERE r.root < c.root GROUP BY ALL)),
+border AS MATERIALIZED (SELECT n.win, c.param, n.u, min(r.root) AS root FROM nbr n JOIN core c ON c.win = n.win AND c.u = n.w AND n.dist <= c.eps
+  JOIN comp r ON r.win = c.win AND r.param = c.param AND r.u = c.u
+  WHERE NOT EXISTS (FROM core o WHERE o.win = n.win AND o.param = c.param AND o.u = n.u) GROUP BY ALL),
+rooted AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+sizes AS (SELECT win, count(*) AS n FROM points GROUP BY win),
+counts AS (SELECT p.win, p.param, p.eps, s.low, count(DISTINCT r.root) + CASE WHEN count(r.u) < any_value(z.n) THEN 1 ELSE 0 END AS nb
+  FROM params p JOIN starts s USING (win) JOIN sizes z USING (win) LEFT JOIN rooted r ON r.win = p.win AND r.param = p.param GROUP BY ALL),
+best AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY win ORDER BY nb DESC, param) = 1),
+numbered AS (SELECT r.win, r.u, dense_rank() OVER (PARTITION BY r.win ORDER BY r.root) - 1 AS label FROM rooted r JOIN best USING (win, param))"""
+
+
+@query("adaptive_eps", f"""WITH RECURSIVE {ADAPTIVE_SQL}
+SELECT p.win AS "window", p.node, coalesce(n.label, -1) AS label, b.low AS eps_min, {s6('b.eps')} AS eps, CASE WHEN b.low IS NOT NULL THEN b.nb END AS nb_cluster
+FROM points p JOIN best b USING (win) LEFT JOIN numbered n ON n.win = p.win AND n.u = p.node""")
+def _(spark, d):
+    """Every window searches radii of its own."""
+    labels, chosen = clusters.adaptive_sweep(refit_points(spark, d), SIZE_MIN)
+    return labels.join(chosen, "window").select(
+        "window", "node", F.col("label").cast("bigint").alias("label"), "eps_min", r6("eps").alias("eps"), "nb_cluster")
+
+
 # Mean distance to each cluster, pair by pair.
 def _silhouette_sql(rows: str, keys: str) -> str:
     k = [c.strip() for c in keys.split(",")]

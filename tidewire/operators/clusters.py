@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.vectors import cosine_distance, euclidean_distance
-from tidewire.operators import kernels
+from tidewire.operators import density, kernels
+from tidewire.operators.components import connected_components
 from tidewire.operators.ordering import number_rows
 from tidewire.operators.silhouette import silhouette
 from tidewire.operators.windows import Lookback, block_counts, pair_blocks, window_blocks
@@ -118,37 +119,6 @@ def _links(cored: DataFrame, params: list[tuple[float, int]], metric: str, count
     )
 
 
-def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, u, root): smallest node of the component, for every u of an edge.
-
-    Alternates the large-star and small-star steps: each is one minimum per node
-    and one join, and the number of rounds grows with the logarithm of the size.
-    """
-    nodes = edges.select(*keys, "u").union(edges.select(*keys, "v")).distinct()
-    current = cut_lineage(edges.filter("u <> v").select(
-        *keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def print_of(e: DataFrame):
-        return e.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first()
-
-    seen = print_of(current)
-    while seen[0]:
-        both = current.union(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, keys + ["u"]).select(
-            *keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        moved = large.join(least, keys + ["u"]).filter("v <> m").select(
-            *keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        current = cut_lineage(moved.union(least.withColumnRenamed("m", "v")).distinct())
-        now = print_of(current)
-        if now == seen:
-            break
-        seen = now
-    roots = current.groupBy(*keys, "u").agg(F.min("v").alias("root"))
-    return nodes.join(roots, keys + ["u"], "left").withColumn("root", F.coalesce("root", "u"))
-
-
 def density_roots(
     points: DataFrame, params: Sequence[tuple[float, int]], metric: str = "cosine", rows: int = BLOCK
 ) -> DataFrame:
@@ -214,6 +184,15 @@ def multi_eps(points: DataFrame, params: Sequence[tuple[float, int]], metric: st
     return _with_noise(points, labelled, _param_table(points, params))
 
 
+def forest_eps(points: DataFrame, grid: Sequence[float], size_min: int, metric: str = "cosine", rows: int = BLOCK) -> DataFrame:
+    """(window, param, node, label) for every eps of ``grid``, all from one spanning forest."""
+    params = [(float(e), size_min) for e in grid]
+    forest = density.density_forest(points, size_min, metric, rows)
+    table = cut_lineage(_param_table(forest.points, params))
+    labelled = _numbered(cut_lineage(density.forest_labels(forest, table, rows)))
+    return _with_noise(forest.points, labelled, table)
+
+
 def dbscan(points: DataFrame, eps: float, size_min: int, metric: str = "cosine", rows: int = BLOCK) -> DataFrame:
     """(window, node, label), -1 for noise; numbers follow the first core point."""
     return multi_eps(points, [(eps, size_min)], metric, rows).drop("param")
@@ -225,31 +204,39 @@ def _fewest(best: DataFrame, score: str) -> DataFrame:
     return best.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def cluster_counts(points: DataFrame, roots: DataFrame, params: Sequence[tuple[float, int]]) -> DataFrame:
-    """(window, param, eps, size_min, nb_cluster), noise counted as one label."""
-    sizes = points.groupBy("window").agg(F.count("*").alias("n"))
-    # Pre-count by root: a distinct count then sees one row per cluster.
-    per_root = roots.groupBy("window", "param", "root").agg(F.count("*").alias("n"))
-    found = per_root.groupBy("window", "param").agg(F.count("*").alias("c"), F.sum("n").alias("hit"))
-    table = _param_table(points, params).join(found, ["window", "param"], "left").join(sizes, "window")
-    noisy = F.coalesce("hit", F.lit(0)) < F.col("n")
-    return table.select(
-        "window", "param", "eps", "size_min",
-        (F.coalesce("c", F.lit(0)) + noisy.cast("int")).cast("bigint").alias("nb_cluster"),
-    )
-
-
 def eps_sweep(
     points: DataFrame, range_eps: Iterable[float] = EPS_GRID, size_min: int = 5,
     metric: str = "cosine", rows: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """Labels and chosen (window, param, eps, size_min, nb_cluster): most labels, first eps wins."""
-    params = [(float(e), size_min) for e in range_eps] or [(DEFAULT_EPS, DEFAULT_SIZE_MIN)]
-    points = cut_lineage(points)
-    roots = cut_lineage(density_roots(points, params, metric, rows))
-    chosen = cut_lineage(_fewest(cluster_counts(points, roots, params), "nb_cluster"))
-    best = roots.join(chosen.select("window", "param"), ["window", "param"], "left_semi")
-    return _with_noise(points, _numbered(best), chosen).drop("param"), chosen
+    grid = [float(e) for e in range_eps]
+    if not grid:
+        grid, size_min = [DEFAULT_EPS], DEFAULT_SIZE_MIN
+    params = [(e, size_min) for e in grid]
+    forest = density.density_forest(points, size_min, metric, rows)
+    counted = _param_table(forest.points, params).join(density.grid_labels(forest, grid), ["window", "param"])
+    chosen = cut_lineage(_fewest(counted, "nb_cluster"))
+    return _labels_of(forest, chosen, rows), chosen
+
+
+def adaptive_sweep(
+    points: DataFrame, size_min: int = 5, metric: str = "cosine", rows: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """Labels and chosen (window, eps, size_min, nb_cluster, eps_min): each window searches its own radii.
+
+    ``density.adaptive_eps`` has the rule. All windows are searched in the same jobs; a
+    window that is all noise at once, or holds copies, costs no more than the others.
+    """
+    forest = density.density_forest(points, size_min, metric, rows)
+    found = density.adaptive_eps(forest, default=DEFAULT_EPS)
+    chosen = cut_lineage(found.select("window", F.lit(0).alias("param"), "eps", F.lit(size_min).alias("size_min"), "nb_cluster", "eps_min"))
+    return _labels_of(forest, chosen, rows), chosen
+
+
+def _labels_of(forest: density.Forest, chosen: DataFrame, rows: int) -> DataFrame:
+    """(window, node, label) of all points at each window's chosen radius."""
+    labelled = _numbered(cut_lineage(density.forest_labels(forest, chosen, rows)))
+    return _with_noise(forest.points, labelled, chosen).drop("param")
 
 
 def silhouette_sweep(
@@ -273,12 +260,6 @@ def silhouette_sweep(
     return _with_noise(points, labelled, chosen).drop("param"), chosen
 
 
-def adaptive_eps_grid(all_noise_eps: float, stop: float = 1.0) -> list[float]:
-    """Grid of the adaptive search: from an eps at which a window is all noise, up in
-    steps of a tenth of it. ``eps_sweep`` runs it like any other grid."""
-    return np.arange(all_noise_eps, stop, all_noise_eps * 0.1).tolist()
-
-
 # --- labels that arrive one by one ----------------------------------------------
 
 
