@@ -228,6 +228,22 @@ def test_windows_against_masks(spark):
     assert all(counts[i] == brute.window(t, t[i], zero.span, 0).sum() for i in anchors)
 
 
+def test_band_join_keys_stay_small_on_one_hot_day(spark, monkeypatch):
+    """All articles within a day, a third of them at one instant: no range holds more than its share."""
+    rng = np.random.default_rng(21)
+    t = np.r_[np.sort(rng.choice(DAY // MIN, 600, replace=False)).astype(np.int64) * MIN, np.full(300, 700 * MIN)]
+    look = Lookback(days=0.2, horizon=30, min_news=1)
+    df = frame(spark, t, np.zeros((900, 1)))
+    kept = []
+    cut = windows._time_ranges
+    monkeypatch.setattr(windows, "_time_ranges", lambda *a: kept.append(cut(*a)) or kept[-1])
+    got = sorted(map(tuple, windows.window_members(df, look, rows=64).select("anchor_id", "member_id").collect()))
+    want = [(i, int(j)) for i in np.flatnonzero(t > t.min() + look.span).tolist() for j in np.flatnonzero(brute.window(t, t[i], look.span, look.gap))]
+    assert got == sorted(want)
+    for (dealt, _), name in zip(kept, ("mr", "ar")):
+        assert dealt.groupBy(name, f"{name}_part").count().agg(F.max("count")).first()[0] <= 4 * 64
+
+
 @pytest.mark.parametrize("rows, anchors, most", [(3072, 128, 512), (23, 3, 512), (23, 3, 2)])
 def test_rolling_features_against_the_loop(spark, monkeypatch, rows, anchors, most):
     monkeypatch.setattr(features, "MOST_SLICES", most)

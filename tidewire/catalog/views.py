@@ -81,7 +81,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RUNS_SQL = """runs AS (
+RUNS_SQL = """runs AS MATERIALIZED (
   SELECT event_id // (SELECT CAST(ceil((SELECT count(*) FROM events) / CAST((SELECT count(*) FROM documents) AS DOUBLE)) AS BIGINT)) AS doc_id,
          min(ts) AS date, arg_min(user_id, event_id) AS user_id,
          avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS feat_sent_negative,
@@ -97,7 +97,7 @@ news AS (
          '{SOURCE}' AS source, d.text AS title_desc, d.lang,
          r.feat_sent_negative, r.feat_sent_neutral, r.feat_sent_positive
   FROM documents d JOIN runs r USING (doc_id))"""
-VECTORS_SQL = """vectors AS (
+VECTORS_SQL = """vectors AS MATERIALIZED (
   SELECT n.idx_news, n.date, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS v,
          CASE WHEN e.label = 0 THEN -1 ELSE e.label END AS label,
          n.feat_sent_negative, n.feat_sent_neutral, n.feat_sent_positive

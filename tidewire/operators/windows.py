@@ -6,16 +6,19 @@ A window of the article dated t holds the articles with
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.ordering import last_marked, previous_row, running_total
-from tidewire.session import small
+from tidewire.session import cut_lineage, small
 
 MICROS_PER_DAY = 86_400_000_000
 MICROS_PER_MINUTE = 60_000_000
+# Rows of a range of time in the band join.
+RANGE = 2048
 
 
 @dataclass(frozen=True)
@@ -55,25 +58,53 @@ def is_member(member: Column, anchor: Column, look: Lookback) -> Column:
     return inside | (member == anchor)
 
 
-def window_members(df: DataFrame, look: Lookback, of: DataFrame | None = None, key: str = "idx_news") -> DataFrame:
-    """(anchor_id, anchor_t, member_id, member_t) by an equi-join on day buckets.
+def _time_ranges(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``name`` (range) and ``name``_part, and the ranges: (name, name_part, lo, hi).
 
-    ``of`` restricts the anchors (columns key, t). The range condition is only a
-    residual, so Spark shuffles by bucket and never compares all with all.
+    Spark cuts the times at sampled quantiles into ranges of about ``most`` rows, however the
+    times bunch. Rows of one instant cannot be cut by time: a range of over twice ``most``
+    rows is dealt into hash parts.
     """
-    rows = timed(df, key)
-    day = MICROS_PER_DAY
-    at = (anchors(df, look, key) if of is None else of.select(key, "t")).select(
-        F.col(key).alias("anchor_id"),
-        F.col("t").alias("anchor_t"),
-        F.explode(
-            F.sequence(F.floor((F.col("t") - look.span) / day), F.floor(F.col("t") / day))
-        ).alias("_day"),
-    )
-    members = rows.select(
-        F.col(key).alias("member_id"), F.col("t").alias("member_t"), F.floor(F.col("t") / day).alias("_day")
-    )
-    return at.join(members, "_day").filter(is_member(F.col("member_t"), F.col("anchor_t"), look)).drop("_day")
+    stored = cut_lineage(rows)
+    ranges = max(1, math.ceil(stored.count() / most))
+    # Stored, so that every later job sees the same ranges.
+    parted = cut_lineage(stored.repartitionByRange(ranges, "t").withColumn(name, F.spark_partition_id()))
+    sizes = parted.groupBy(name).agg(
+        F.min("t").alias("lo"), F.max("t").alias("hi"), F.greatest(F.lit(1), F.floor(F.count("*") / (2 * most)) + 1).alias("_parts"))
+    sizes = small(sizes)
+    dealt = parted.join(sizes.select(name, "_parts"), name).withColumn(f"{name}_part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).drop("_parts")
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias(f"{name}_part")
+    return dealt, sizes.select(name, parts, "lo", "hi")
+
+
+def window_members(
+    df: DataFrame, look: Lookback, of: DataFrame | None = None, key: str = "idx_news", rows: int = RANGE
+) -> DataFrame:
+    """(anchor_id, anchor_t, member_id, member_t) by a band join on ranges of time.
+
+    ``of`` restricts the anchors (columns key, t). Anchors and members are cut into ranges of about
+    ``rows`` rows. A range of anchors meets the ranges of members that its windows can
+    reach, so no key of the join holds more than a range of either side, whether the articles
+    come over years or in one hour; the exact bounds are a residual of the join.
+    """
+    members, m_ranges = _time_ranges(timed(df, key).select(F.col(key).alias("member_id"), "t"), rows, "mr")
+    at = anchors(df, look, key) if of is None else of
+    asked, a_ranges = _time_ranges(at.select(F.col(key).alias("anchor_id"), "t"), rows, "ar")
+    # Ranges meet by the lookback-wide buckets that both touch.
+    width = max(look.span, 1)
+
+    def touch(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("_b")
+
+    left = a_ranges.select("ar", "ar_part", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), touch(F.col("lo") - look.span, F.col("hi")))
+    right = m_ranges.select("mr", "mr_part", "lo", "hi", touch(F.col("lo"), F.col("hi")))
+    reach = left.join(right, "_b").filter((F.col("lo") <= F.col("a_hi")) & (F.col("hi") > F.col("a_lo") - look.span))
+    pairs = small(reach.select("ar", "ar_part", "mr", "mr_part").distinct())
+    keys = ["ar", "ar_part", "mr", "mr_part"]
+    anchored = asked.join(pairs, ["ar", "ar_part"]).select(*keys, "anchor_id", F.col("t").alias("anchor_t"))
+    reached = members.join(pairs, ["mr", "mr_part"]).select(*keys, "member_id", F.col("t").alias("member_t"))
+    met = anchored.join(reached, keys).filter(is_member(F.col("member_t"), F.col("anchor_t"), look))
+    return met.select("anchor_id", "anchor_t", "member_id", "member_t")
 
 
 def eligible_anchors(df: DataFrame, look: Lookback, key: str = "idx_news") -> DataFrame:
