@@ -3,6 +3,7 @@ repeated rows, empty tables and clashing column names."""
 
 import hashlib
 import random
+import time
 import zlib
 
 import llm_brute as brute
@@ -380,6 +381,25 @@ def test_pii(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_of_a_text_with_very_many_hits(spark):
+    """A log of 32,000 addresses: work in proportion to the hits, places and redaction right."""
+    rng = random.Random(8)
+    line = [f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)} é u{i}@ex.org" if i % 2 else f"token=Ab{rng.randrange(10**20):020d}" for i in range(32_000)]
+    text = " ".join(line)
+    frame = spark.createDataFrame([(1, text), (2, "a@b.c"), (None, None)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.find(frame, ("doc_id", "text")).withColumn("put", pii.redact(F.col("text"), F.col("spans"))).collect()}
+    assert time.time() - start < 120
+    assert brute.sha(",".join(f"{pii.KINDS[x.rank]}:{x.start}:{x.end}" for x in got[1].base)) == brute.pii(text)[1]
+    out, at = [], 0
+    for x in got[1].spans:
+        if x.start >= at:
+            out += [text[at : x.start], "[" + pii.KINDS[x.rank].upper() + "]"]
+        at = max(at, x.end)
+    assert got[1].put == "".join(out) + text[at:]
+    assert got[2].put == "[EMAIL]" and got[None].put is None
+
+
 def test_pii_addresses_with_zero_parts(spark):
     made = ["127.0.0.1", "10.0.0.1", "0.0.0.0", "192.168.1.0", "000.00.0.0000", "0.0.0.256", "0.0.00300.0", "0255.0.010.100", "1.0.0"]
     frame = spark.createDataFrame([*enumerate(f"at {x} up" for x in made), (99, "; ".join(made))], "doc_id long, text string")

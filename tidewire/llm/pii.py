@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +35,84 @@ BEFORE = 24
 LABELERS = ("pattern", "gazetteer", "context", "makeup", "length")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """(start, end, match) of all matches, left to right, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+#: Values, and characters, of a piece: a row's work grows with its length times one piece.
+STEP, PIECE = 256, 1024
+MOST = 2**31 - 1
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Running sums, greatest or least values of an array of integers, itself included.
+
+    An array that grows by one value at a time is copied each time, so pieces of ``STEP`` values are
+    accumulated first, then the pieces' last values.
+    """
+    nothing = F.array().cast("array<int>")
+    start = F.struct(F.lit(zero).alias("last"), nothing.alias("out"))
+
+    def grow(acc: Column, last: Column, told: Column) -> Column:
+        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(told)).alias("out"))
+
+    def pieces(v: Column) -> Column:
+        every = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int"))
+        return F.transform(every, lambda i: F.aggregate(
+            F.slice(v, i * STEP + 1, F.lit(STEP)), start, lambda acc, x: grow(acc, op(acc["last"], x), op(acc["last"], x))))
+
+    def together(parts: Column) -> Column:
+        before = F.aggregate(parts, start, lambda acc, x: grow(acc, op(acc["last"], x["last"]), acc["last"]), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, before, lambda x, carried: F.transform(x["out"], lambda y: op(y, carried))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(pieces(v), together)).otherwise(nothing))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _cuts(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` characters: ``_part`` then never walks the text from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["hit"])
-        hit = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+def _part(cuts: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of a text cut by ``_cuts``."""
+    first = F.floor(start / PIECE).cast("int")
+    own = F.slice(cuts, first + 1, F.greatest(F.floor((end - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+    return F.when(end > start, F.array_join(own, "").substr(start - first * PIECE + 1, end - start)).otherwise("")
 
+
+def _found(text: Column, pattern: str) -> Column:
+    """(start, end, match) of all matches, left to right, in code points."""
     # Between two matches lies one piece: their lengths add up to the places.
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.filter(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+
+    def placed(b: Column) -> Column:
+        ends = _running(F.transform(b, lambda x: F.length(x["piece"]) + F.length(x["hit"])), _sum, 0)
+        return F.zip_with(b, ends, lambda x, e: F.struct((e - F.length(x["hit"])).alias("start"), e.alias("end"), x["hit"].alias("hit")))
+
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    return F.when(text.rlike(pattern), let(both, placed)).otherwise(none)
+
+
+def _free(found: Column, base: Column) -> Column:
+    """The matches that touch no base span.
+
+    In order of their starts, a match touches a span that began before it and ends behind its
+    start, or one that begins behind its start and before its end.
+    """
+    own = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("loose"), b["end"].alias("end"), F.lit("").alias("hit")))
+    loose = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("loose"), x["end"].alias("end"), x["hit"].alias("hit")))
+
+    def judged(line: Column) -> Column:
+        ended = _running(F.transform(line, lambda x: F.when(x["loose"] == 0, x["end"]).otherwise(0)), F.greatest, 0)
+        begins = F.transform(F.reverse(line), lambda x: F.when(x["loose"] == 0, x["start"]).otherwise(MOST))
+        begun = F.reverse(_running(begins, F.least, MOST))
+        every = F.arrays_zip(line.alias("x"), ended.alias("ended"), begun.alias("begun"))
+        free = F.filter(every, lambda z: (z["x"]["loose"] == 1) & (z["ended"] <= z["x"]["start"]) & (z["begun"] >= z["x"]["end"]))
+        return F.transform(free, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["end"].alias("end"), z["x"]["hit"].alias("hit")))
+
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(own, loose)), judged)).otherwise(found)
 
 
 def _digits(hit: Column) -> Column:
@@ -93,10 +157,10 @@ def _span(x: Column, kind: str) -> Column:
     return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), x["hit"].alias("hit"))
 
 
-def _votes(text: Column, span: Column, kind: str, base: bool) -> Column:
+def _votes(cuts: Column, span: Column, kind: str, base: bool) -> Column:
     """Each labeler says 1 (personal), -1 (not) or 0 (nothing to say)."""
     hit = span["hit"]
-    before = F.lower(text.substr(F.greatest(span["start"] - BEFORE + 1, F.lit(1)), F.least(span["start"], F.lit(BEFORE))))
+    before = F.lower(_part(cuts, F.greatest(span["start"] - BEFORE, F.lit(0)), span["start"]))
     names = "|".join(GAZETTEER[kind])
     if kind == "secret":
         mixed = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
@@ -117,15 +181,18 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     """``keep`` with base spans and voted candidates of every row, texts left out."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(*keep, text.alias("_text")).select(*keep, "_text", *[_spans(F.col("_text"), k).alias(k) for k in KINDS[:4]])
-    strict = base.withColumn("_base", F.array_sort(F.concat(*KINDS[:4])))
     t, own = F.col("_text"), F.col("_base")
+    strict = base.withColumn("_base", F.array_sort(F.concat(*KINDS[:4]))).withColumns(
+        {k: let(_found(t, p), lambda f: _free(f, own)) for k, p in (("secret", SECRET), ("local_phone", LOCAL_PHONE))})
+    any_ = F.size("_base") + F.size("secret") + F.size("local_phone") > 0
+    strict = strict.withColumn("_cuts", F.when(any_, _cuts(t)).otherwise(F.array().cast("array<string>")))
+    cuts = F.col("_cuts")
 
-    def loose(kind: str, pattern: str) -> Column:
-        free = F.filter(_found(t, pattern), lambda x: ~F.exists(own, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.transform(free, lambda x: F.struct(_span(x, kind).alias("span"), _votes(t, x, kind, False).alias("votes")))
+    def loose(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x: F.struct(_span(x, kind).alias("span"), _votes(cuts, x, kind, False).alias("votes")))
 
     def sure(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda x: F.struct(x.alias("span"), _votes(t, x, kind, True).alias("votes")))
+        return F.transform(F.col(kind), lambda x: F.struct(x.alias("span"), _votes(cuts, x, kind, True).alias("votes")))
 
     slim = "array<struct<start:int,rank:int,end:int>>"
     pair = f"array<struct<span:struct<start:int,rank:int,end:int>,votes:struct<{','.join(f'{n}:int' for n in LABELERS)}>>>"
@@ -133,7 +200,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     def bare(x: Column) -> Column:
         return F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))
 
-    every = F.concat(*map(sure, KINDS[:4]), loose("secret", SECRET), loose("local_phone", LOCAL_PHONE))
+    every = F.concat(*map(sure, KINDS[:4]), loose("secret"), loose("local_phone"))
     return strict.select(
         *keep,
         F.transform(own, bare).cast(slim).alias("base"),
@@ -215,14 +282,20 @@ def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span put as its kind in brackets; of overlapping ones the first."""
     names = F.array(*[F.lit(k) for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        put = F.concat(acc["out"], gap, F.lit("["), F.upper(F.element_at(names, s["rank"] + 1)), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out")
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
+    def put(cuts: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        at = _running(F.concat(F.array(F.lit(0)), ends), F.greatest, 0)  # one more than the spans
+
+        def one(s: Column, done: Column) -> Column:
+            word = F.concat(F.lit("["), F.upper(F.element_at(names, s["rank"] + 1)), F.lit("]"))
+            return F.when(s["start"] < done, F.lit("")).otherwise(F.concat(_part(cuts, done, s["start"]), word))
+
+        def joined(reached: Column) -> Column:
+            before = F.slice(reached, F.lit(1), F.size(spans))
+            last = F.element_at(reached, -1)
+            rest = _part(cuts, last, F.length(text))
+            return F.concat(F.array_join(F.zip_with(spans, before, one), ""), rest)
+
+        return let(at, joined)
+
+    return F.when(F.size(spans) > 0, let(_cuts(text), put)).otherwise(text)
