@@ -126,6 +126,24 @@ def test_forest_has_the_clusters_of_every_eps(spark, rows):
                 assert (got == brute.dbscan(x, eps, size)).all(), (w, eps, size)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_pivots_rule_out_pairs_of_blocks_and_nothing_else(spark, metric):
+    """Far groups, copies and a vector without direction: fewer pairs, the same clusters."""
+    rng = np.random.default_rng(31)
+    x = np.repeat(np.eye(5), 40, axis=0) * 3 + 0.05 * rng.normal(size=(200, 5))
+    x = np.concatenate([x, np.tile(x[:1], (20, 1)), np.zeros((1, 5))])
+    grid = [0.0005, 0.002, 0.01] if metric == "cosine" else [0.05, 0.1, 0.2]
+    forest = density.density_forest(points_of(spark, {1: x}), 4, metric, 25, max(grid))
+    assert forest.excluded() > 0.4
+    out = clusters.forest_eps(points_of(spark, {1: x}), grid, 4, metric, 25).cache()
+    whole = clusters.forest_eps(points_of(spark, {1: x}), grid, 4, metric).cache()
+    assert whole.filter("label >= 0").count() > 100
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+    if metric == "cosine":
+        for p, eps in enumerate(grid):
+            assert (labels_of(whole.filter(F.col("param") == p), len(x), 1) == brute.dbscan(x, eps, 4)).all()
+
+
 def test_spanning_edges_are_minimal():
     rng = np.random.default_rng(3)
     for n, m in ((1, 1), (2, 2), (9, 9), (5, 8), (1, 4), (30, 30)):
@@ -178,7 +196,12 @@ def test_kmeans_finds_separate_groups(spark):
     rng = np.random.default_rng(7)
     x = np.repeat(np.eye(3) * 10, 20, axis=0) + 0.1 * rng.normal(size=(60, 3))
     points = points_of(spark, {1: x})
+    drawn = clusters.seeds(points, spark.createDataFrame([(1, 3)], "window long, _kmax int"), 8, rows=16).collect()
+    # Draws in proportion to the squared distance find all three groups.
+    for i in range(8):
+        assert sorted(int(np.argmax(r["embedding"])) for r in drawn if r["init"] == i) == [0, 1, 2]
     out = labels_of(clusters.kmeans(points, [3], n_init=8, rows=16), 60, 1)
+    assert out[0] == 0 and list(dict.fromkeys(out.tolist())) == [0, 1, 2]
     assert [len(set(out[i : i + 20])) for i in (0, 20, 40)] == [1, 1, 1] and len(set(out)) == 3
     _, chosen = clusters.k_select(points, "silhouette_score", range(2, 6), n_init=8)
     assert chosen.first()["k"] == 3

@@ -293,13 +293,55 @@ def _(spark, d):
     return rows.select("idx_news", clusters.k_sqrt(F.col("n_members")).alias("k"))
 
 
-@query("kmeans")
+def _kmeans_sql(ks: str, restarts: int, rounds: int = clusters.ROUNDS) -> str:
+    """Seeding round by round, then Lloyd's method as a recursion over the centres still moving."""
+    prime, drawn = clusters.PRIME, []
+    for r in range(1, rounds + 1):
+        drawn.append(f"""s{r} AS MATERIALIZED (SELECT * FROM s{r - 1} UNION ALL
+  SELECT win, init, c, node FROM (SELECT f.win, f.init, f.node, kmax, take, row_number() OVER (PARTITION BY f.win, f.init ORDER BY d.e / f.far, f.node) AS rn,
+    1 + {r - 1} * take + rn - 1 AS c FROM (SELECT p.win, s.init, p.node, min(pow(list_distance(p.v, q.v), 2)) AS far
+      FROM pts p JOIN s{r - 1} s USING (win) JOIN pts q ON q.win = s.win AND q.node = s.node GROUP BY ALL) f
+    JOIN draws d ON d.win = f.win AND d.node = f.node AND d.init = f.init AND d.nth = {r} JOIN widest w ON w.win = f.win WHERE f.far > {clusters.SAME})
+  WHERE rn <= take AND c < kmax)""")
+    return f"""{POINTS_SQL},
+pts AS MATERIALIZED (SELECT p.win, p.node, v.v FROM points p JOIN vectors v ON v.idx_news = p.node),
+ks AS MATERIALIZED ({ks}),
+widest AS MATERIALIZED (SELECT win, max(k) AS kmax, greatest(1, CAST(ceil((max(k) - 1) / {rounds}.0) AS BIGINT)) AS take FROM ks GROUP BY win),
+draws AS MATERIALIZED (SELECT win, node, init, nth, (node % {prime} * 48271 + (init * 69621 + nth * 16807 + 12345)) % {prime} AS h0,
+  (h0 * h0 + 3 * h0 + 7) % {prime} AS h1, (h1 * 48271 + 11) % {prime} AS h2, (h2 * h2 + 5) % {prime} AS h3, -ln((h3 + 0.5) / {prime}) AS e
+  FROM pts, (SELECT unnest(range(0, {restarts})) AS init), (SELECT unnest(range(0, {rounds + 1})) AS nth)),
+s0 AS MATERIALIZED (SELECT win, init, CAST(0 AS BIGINT) AS c, node FROM draws WHERE nth = 0 QUALIFY row_number() OVER (PARTITION BY win, init ORDER BY e, node) = 1),
+{", ".join(drawn)},
+cent(win, k, init, c, v, live, step) USING KEY (win, k, init, c) AS (
+  SELECT s.win, ks.k, s.init, s.c, q.v, true, 0 FROM s{rounds} s JOIN ks USING (win) JOIN pts q ON q.win = s.win AND q.node = s.node WHERE s.c < ks.k
+  UNION (SELECT win, k, init, c, v, max(shift) OVER (PARTITION BY win, k, init) > 0.0001, step + 1 FROM (
+    SELECT o.win, o.k, o.init, o.c, coalesce(m.v, o.v) AS v, list_distance(coalesce(m.v, o.v), o.v) AS shift, o.step FROM cent o LEFT JOIN (
+      SELECT win, k, init, c, list(x ORDER BY j) AS v FROM (
+        SELECT a.win, a.k, a.init, a.m.c AS c, j, avg(p.v[j]) AS x FROM (
+          SELECT p.win, o.k, o.init, p.node, min({{'d': list_distance(p.v, o.v), 'c': o.c}}) AS m FROM cent o JOIN pts p USING (win) WHERE o.live GROUP BY ALL) a
+        JOIN pts p ON p.win = a.win AND p.node = a.node, (SELECT unnest(range(1, 65)) AS j) GROUP BY ALL) GROUP BY ALL) m
+    ON m.win = o.win AND m.k = o.k AND m.init = o.init AND m.c = o.c WHERE o.live))),
+final AS MATERIALIZED (SELECT p.win, o.k, o.init, p.node, min({{'d': list_distance(p.v, o.v), 'c': o.c}}) AS m FROM cent o JOIN pts p USING (win) GROUP BY ALL),
+won AS (SELECT win, k, init FROM (SELECT win, k, init, sum(pow(m.d, 2)) AS cost FROM final GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY win, k ORDER BY round(cost, 9), init) = 1),
+firsts AS (SELECT win, k, node, min(node) OVER (PARTITION BY win, k, m.c) AS lowest FROM final JOIN won USING (win, k, init)),
+grouped AS MATERIALIZED (SELECT win, k, node, dense_rank() OVER (PARTITION BY win, k ORDER BY lowest) - 1 AS label FROM firsts)"""
+
+
+SQUARE_ROOT = "SELECT win, greatest(2, CAST(floor(sqrt(count(*))) AS BIGINT)) AS k FROM pts GROUP BY win"
+SOME_KS = "SELECT DISTINCT win, k FROM pts, (SELECT unnest(range(2, 8)) AS k)"
+RESTARTS = 20
+
+
+@query("kmeans", f"""WITH RECURSIVE {_kmeans_sql(SQUARE_ROOT, RESTARTS)} SELECT win AS "window", k, node, label FROM grouped""")
 def _(spark, d):
-    out = clusters.kmeans(refit_points(spark, d), n_init=20)
-    return out.select("window", "k", "node", "label")
+    out = clusters.kmeans(refit_points(spark, d), n_init=RESTARTS)
+    return out.select("window", F.col("k").cast("bigint").alias("k"), "node", F.col("label").cast("bigint").alias("label"))
 
 
-@query("k_select")
+@query("k_select", f"""WITH RECURSIVE {_kmeans_sql(SOME_KS, RESTARTS)}, {_silhouette_sql('grouped', 'win, k')},
+scores AS (SELECT win, k, avg(s) AS score FROM sil GROUP BY ALL)
+SELECT win AS "window", k, {s6('score')} AS silhouette_score FROM scores QUALIFY row_number() OVER (PARTITION BY win ORDER BY score DESC NULLS LAST, k) = 1""")
 def _(spark, d):
-    _, chosen = clusters.k_select(refit_points(spark, d), "silhouette_score", range(2, 8))
-    return chosen.select("window", "k", r6("silhouette_score").alias("silhouette_score"))
+    _, chosen = clusters.k_select(refit_points(spark, d), "silhouette_score", range(2, 8), n_init=RESTARTS)
+    return chosen.select("window", F.col("k").cast("bigint").alias("k"), r6("silhouette_score").alias("silhouette_score"))

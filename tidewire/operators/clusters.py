@@ -29,6 +29,9 @@ NOISE = -1
 BLOCK = 3072
 # Parameters used where a sweep finds nothing.
 DEFAULT_EPS, DEFAULT_SIZE_MIN, DEFAULT_K = 0.1, 5, 2
+# Passes over the points that draw k-means centres; nearer squares count as copies of a centre.
+ROUNDS, SAME = 4, 1e-9
+PRIME = 2**31 - 1
 # The eps grid of the headline run, 0.01 to below 1 in steps of 0.03.
 EPS_GRID = [round(0.01 + 0.03 * i, 2) for i in range(33)]
 
@@ -187,9 +190,9 @@ def multi_eps(points: DataFrame, params: Sequence[tuple[float, int]], metric: st
 def forest_eps(points: DataFrame, grid: Sequence[float], size_min: int, metric: str = "cosine", rows: int = BLOCK) -> DataFrame:
     """(window, param, node, label) for every eps of ``grid``, all from one spanning forest."""
     params = [(float(e), size_min) for e in grid]
-    forest = density.density_forest(points, size_min, metric, rows)
+    forest = density.density_forest(points, size_min, metric, rows, max(eps for eps, _ in params))
     table = cut_lineage(_param_table(forest.points, params))
-    labelled = _numbered(cut_lineage(density.forest_labels(forest, table, rows)))
+    labelled = _numbered(cut_lineage(density.forest_labels(forest, table)))
     return _with_noise(forest.points, labelled, table)
 
 
@@ -213,10 +216,10 @@ def eps_sweep(
     if not grid:
         grid, size_min = [DEFAULT_EPS], DEFAULT_SIZE_MIN
     params = [(e, size_min) for e in grid]
-    forest = density.density_forest(points, size_min, metric, rows)
+    forest = density.density_forest(points, size_min, metric, rows, max(grid))
     counted = _param_table(forest.points, params).join(density.grid_labels(forest, grid), ["window", "param"])
     chosen = cut_lineage(_fewest(counted, "nb_cluster"))
-    return _labels_of(forest, chosen, rows), chosen
+    return _labels_of(forest, chosen), chosen
 
 
 def adaptive_sweep(
@@ -227,15 +230,15 @@ def adaptive_sweep(
     ``density.adaptive_eps`` has the rule. All windows are searched in the same jobs; a
     window that is all noise at once, or holds copies, costs no more than the others.
     """
-    forest = density.density_forest(points, size_min, metric, rows)
+    forest = density.density_forest(points, size_min, metric, rows, 1.0)
     found = density.adaptive_eps(forest, default=DEFAULT_EPS)
     chosen = cut_lineage(found.select("window", F.lit(0).alias("param"), "eps", F.lit(size_min).alias("size_min"), "nb_cluster", "eps_min"))
-    return _labels_of(forest, chosen, rows), chosen
+    return _labels_of(forest, chosen), chosen
 
 
-def _labels_of(forest: density.Forest, chosen: DataFrame, rows: int) -> DataFrame:
+def _labels_of(forest: density.Forest, chosen: DataFrame) -> DataFrame:
     """(window, node, label) of all points at each window's chosen radius."""
-    labelled = _numbered(cut_lineage(density.forest_labels(forest, chosen, rows)))
+    labelled = _numbered(cut_lineage(density.forest_labels(forest, chosen)))
     return _with_noise(forest.points, labelled, chosen).drop("param")
 
 
@@ -398,34 +401,104 @@ def _nearest(points: DataFrame, centres: DataFrame, labels: bool) -> DataFrame:
     )
 
 
+def uniform(node: np.ndarray, init: int, nth: int) -> np.ndarray:
+    """A number in (0, 1) for every node, restart and round, by squares modulo a prime."""
+    h = (node % PRIME * 48271 + (init * 69621 + nth * 16807 + 12345)) % PRIME
+    h = (h * h + 3 * h + 7) % PRIME
+    h = (h * 48271 + 11) % PRIME
+    h = (h * h + 5) % PRIME
+    return (h + 0.5) / PRIME
+
+
+def _drawn(points: DataFrame, centres: DataFrame, nth: int, n_init: int) -> DataFrame:
+    """(window, init, node, race, take): each block's ``take`` first points of every restart's race.
+
+    Points run with a speed of their squared distance to the nearest centre so far (round 0: all
+    alike), so the first ones are drawn with chances in proportion to it.
+    """
+
+    def draw(key, t):
+        is_point = t.column("is_point").to_numpy(zero_copy_only=False)
+        x, node, init = kernels.matrix(t, "embedding"), kernels.column(t, "node"), kernels.column(t, "init")
+        pts, own, ctr = x[is_point], node[is_point], x[~is_point]
+        take = int(kernels.column(t, "take")[is_point][0]) if len(pts) else 0
+        out = {"init": [], "node": [], "race": []}
+        squares = kernels.distances(pts, ctr, "euclidean") ** 2 if nth else None
+        for i in range(n_init):
+            far = np.ones(len(pts))
+            if nth:
+                mine = init[~is_point] == i
+                far = squares[:, mine].min(axis=1) if mine.any() else far
+            with np.errstate(divide="ignore"):
+                race = np.where(far > SAME, -np.log(uniform(own, i, nth)) / far, np.inf)
+            first = np.lexsort((own, race))[: 1 if nth == 0 else take]
+            first = first[np.isfinite(race[first])]
+            out["init"].append(np.full(len(first), i, dtype=np.int32))
+            out["node"].append(own[first])
+            out["race"].append(race[first])
+        return {c: np.concatenate(v) for c, v in out.items()}
+
+    none = F.lit(0)
+    columns = ["window", "block", "node", "init", "take", "embedding", "is_point"]
+    both = points.withColumns({"init": none, "is_point": F.lit(True)}).select(*columns).unionByName(
+        centres.withColumns({
+            "block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)),
+            "node": F.lit(0).cast("bigint"), "is_point": F.lit(False)}).select(*columns))
+    return kernels.per_group(both, ["window", "block"], draw, "window bigint, block bigint, init int, node bigint, race double")
+
+
+def seeds(points: DataFrame, widest: DataFrame, n_init: int, rows: int = BLOCK) -> DataFrame:
+    """(window, init, c, embedding): starting centres of every restart, most important ones first.
+
+    The first is drawn evenly; then ``ROUNDS`` rounds draw the others with chances in
+    proportion to the squared distance from those before, several at a time, so the passes over the
+    points do not grow with k. The first k of a restart serve as its start for k. ``widest``:
+    (window, _kmax). Only a few rows per block leave the tasks.
+    """
+    sizes = points.groupBy("window").agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    take = F.greatest(F.lit(1), F.ceil((F.col("_kmax") - 1) / ROUNDS)).cast("int")
+    held = cut_lineage(points.join(sizes, "window").join(widest, "window").select(
+        "window", "node", "embedding", F.pmod(F.xxhash64("node"), F.col("_parts")).alias("block"), "_parts", "_kmax", take.alias("take")))
+    centres = None
+    for nth in range(ROUNDS + 1):
+        none = held.limit(0).select("window", F.lit(0).alias("init"), F.lit(0).alias("c"), "embedding", "_parts", "take")
+        raced = _drawn(held, none if centres is None else centres, nth, n_init)
+        ranked = raced.withColumn("_r", F.row_number().over(W.partitionBy("window", "init").orderBy("race", "node")))
+        facts = held.select("window", "node", "embedding", "_parts", "take", "_kmax")
+        before = F.when(F.lit(nth == 0), 0).otherwise(1 + (nth - 1) * F.col("take"))
+        new = ranked.join(facts, ["window", "node"]).withColumn("c", (before + F.col("_r") - 1).cast("int"))
+        new = new.filter((F.col("_r") <= F.when(F.lit(nth == 0), 1).otherwise(F.col("take"))) & (F.col("c") < F.col("_kmax")))
+        new = cut_lineage(new.select("window", "init", "c", "embedding", "_parts", "take"))
+        centres = new if centres is None else cut_lineage(centres.unionByName(new))
+    return centres.select("window", "init", "c", "embedding")
+
+
+def _in_node_order(labels: DataFrame) -> DataFrame:
+    """Cluster numbers 0, 1, … in the order of their first members."""
+    keys = ["window", "k"]
+    firsts = labels.groupBy(*keys, "c").agg(F.min("node").alias("_first"))
+    ranked = firsts.withColumn("label", (F.row_number().over(W.partitionBy(*keys).orderBy("_first")) - 1).cast("int"))
+    return labels.join(ranked.select(*keys, "c", "label"), [*keys, "c"]).select(*keys, "node", "label")
+
+
 def kmeans(
     points: DataFrame, ks: Sequence[int] | None = None, n_init: int = 20, tol: float = 1e-4, rows: int = BLOCK,
 ) -> DataFrame:
     """(window, k, node, label): Lloyd's method for all windows, k and restarts at once.
 
-    ``ks=None`` takes the square-root rule per window. Restart i starts from the k
-    points with the lowest hash under seed i; the lowest total cost wins. A start leaves
-    the loop when none of its centres moves by more than ``tol``; the loop ends with the last.
+    ``ks=None`` takes the square-root rule per window. Restarts begin with ``seeds``; the lowest
+    total cost (to nine decimals) wins, the first restart on a tie. A start leaves the loop when
+    none of its centres moves by more than ``tol``; the loop ends with the last. A centre without
+    points stays. Clusters are numbered by their first members.
     """
-    points = cut_lineage(points)
+    points = cut_lineage(points.select("window", "node", "embedding"))
     if ks is None:
         wanted = points.groupBy("window").agg(k_sqrt(F.count("*")).cast("int").alias("k"))
     else:
         wanted = points.select("window").distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     wanted = cut_lineage(wanted)
     widest = wanted.groupBy("window").agg(F.max("k").alias("_kmax"))
-    seeds = points.select("window", "node").withColumn("init", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-    by_hash = W.partitionBy("window", "init", "_slice").orderBy("_h", "node")
-    overall = W.partitionBy("window", "init").orderBy("_h", "node")
-    # Rank inside slices first: only k rows per slice reach the final ranking.
-    drawn = (
-        seeds.join(widest, "window")
-        .withColumns({"_h": F.xxhash64("node", "init"), "_slice": F.pmod(F.xxhash64("node"), F.lit(64))})
-        .withColumn("_r", F.row_number().over(by_hash)).filter("_r <= _kmax")
-        .withColumn("c", F.row_number().over(overall) - 1).filter("c < _kmax")
-        .select("window", "init", "c", "node")
-        .join(points.select("window", "node", "embedding"), ["window", "node"])
-    )
+    drawn = seeds(points, widest, n_init, rows)
     sizes = points.groupBy("window").agg(F.ceil(F.count("*") / rows).alias("_parts"))
     # Points in blocks; whole starts, (k, init), in batches of about ``rows`` centres.
     before = F.sum("k").over(W.partitionBy("window").orderBy("k", "init")) - F.col("k")
@@ -449,9 +522,9 @@ def kmeans(
         centres = cut_lineage(moved.unionByName(centres.filter("NOT live")))
     centres = centres.drop("live")
     costs = _nearest(points, centres, labels=False).groupBy("window", "k", "init").agg(F.sum("cost").alias("cost"))
-    best = costs.groupBy("window", "k").agg(F.min(F.struct("cost", "init")).alias("b")).select("window", "k", "b.init")
+    best = costs.groupBy("window", "k").agg(F.min(F.struct(F.round("cost", 9), "init")).alias("b")).select("window", "k", "b.init")
     winners = centres.join(best, ["window", "k", "init"], "left_semi")
-    return _nearest(points, winners, labels=True).select("window", "k", "node", F.col("c").alias("label"))
+    return _in_node_order(cut_lineage(_nearest(points, winners, labels=True).select("window", "k", "node", "c")))
 
 
 def k_select(
