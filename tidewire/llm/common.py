@@ -37,8 +37,12 @@ def store(df: DataFrame) -> DataFrame:
     return stored
 
 
-def store_buckets(df: DataFrame, key: str) -> DataFrame:
-    """``store`` as a table whose rows lie in hash buckets of ``key``.
+#: Buckets of a stored table at most: Spark's own limit.
+BUCKETS = 100_000
+
+
+def store_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``store`` as a table whose rows lie in hash buckets of ``key``, one per shuffle partition at least.
 
     Grouping the stored rows by ``key`` moves none of them. ``discard`` drops the table.
     """
@@ -46,7 +50,7 @@ def store_buckets(df: DataFrame, key: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     name = f"table_{uuid.uuid4().hex}"
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(min(max(partitions(spark), buckets), BUCKETS), key).option("path", path).saveAsTable(name)
     at, fs = _place(spark, path)
     fs.deleteOnExit(at)
     stored = spark.table(name)

@@ -284,7 +284,8 @@ def score(docs: DataFrame, train: Column, lower: bool = True) -> DataFrame:
     """
     spark = docs.sparkSession
     # Bucketed by block, so that the texts need not move again when the answers come back.
-    rows = store_buckets(blocks(docs, train), "block")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = store_buckets(blocks(docs, train), "block", math.ceil(size / (2 * BLOCK)))
     posts = store(posted(rows, lower))
     counts = store(posts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     discard()
