@@ -251,9 +251,9 @@ WIDE = GRID[24]
 FIXED = f"SELECT DISTINCT win, param, CAST({WIDE} AS DOUBLE) AS eps FROM labelled WHERE param = {GRID.index(WIDE)}"
 
 
-def _late_sql(best: str) -> str:
+def _told_sql(best: str) -> str:
     """Step by step: the n-th late article of every chain votes among the articles labelled so far."""
-    return f"""WITH RECURSIVE {DBSCAN_SQL}, best AS ({best}),
+    return f"""{DBSCAN_SQL}, best AS ({best}),
 spans AS (SELECT chain_id, min(date) AS first, max(date) AS last FROM schedule WHERE eligible GROUP BY 1 HAVING max(date) > min(date)),
 late AS MATERIALIZED (SELECT s.chain_id, v.idx_news AS id, v.date, b.eps, row_number() OVER (PARTITION BY s.chain_id ORDER BY v.date) AS n
   FROM spans s JOIN best b ON b.win = s.chain_id
@@ -267,8 +267,11 @@ told(chain_id, id, label, n) USING KEY (chain_id, id) AS (
     FROM (SELECT DISTINCT chain_id, n FROM told) t JOIN late l ON l.chain_id = t.chain_id AND l.n = t.n + 1
     LEFT JOIN late_nbr o ON o.chain_id = l.chain_id AND o.id = l.id
     LEFT JOIN recurring.told r ON r.chain_id = l.chain_id AND r.id = o.other AND r.label <> -1 GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY votes DESC, label) = 1))
-SELECT chain_id, id AS idx_news, label FROM told WHERE n > 0"""
+    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY votes DESC, label) = 1))"""
+
+
+def _late_sql(best: str) -> str:
+    return f"WITH RECURSIVE {_told_sql(best)} SELECT chain_id, id AS idx_news, label FROM told WHERE n > 0"
 
 
 @query("incremental_labels", _late_sql(SEARCHED))
