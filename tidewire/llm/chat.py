@@ -44,8 +44,11 @@ def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     its child a root; a cycle raises ValueError; null scores count as 0.
     """
     known = nodes.select(F.col("node").alias("_known"))
-    step = nodes.join(known, nodes["parent"] == known["_known"], "left")
-    step = store(step.select("tree", "node", F.col("_known").alias("up"), F.coalesce("score", F.lit(0)).cast("double").alias("sum")))
+    sum_ = F.coalesce("score", F.lit(0)).cast("double").alias("sum")
+    # Roots, of which there is one a tree, would all meet under one null.
+    roots, replies = nodes.where("parent is null"), nodes.where("parent is not null")
+    linked = replies.join(known, replies["parent"] == known["_known"], "left").select("tree", "node", F.col("_known").alias("up"), sum_)
+    step = store(linked.unionByName(roots.select("tree", "node", F.lit(None).cast(known.schema["_known"].dataType).alias("up"), sum_)))
     parents = step.where("up is not null").select(F.col("up").alias("node")).distinct()
     total = nodes.count()
     done, jumps, length = [], [], 1
@@ -120,7 +123,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """Format flat conversations (conv_id, turn, role, text) as chains of replies.
 
     Every row replies to the row before it in its conversation (by turn; ties by
-    role, then text, so repeated rows all stay). Null texts and roles are empty, a
+    role, then by a hash of the text, so repeated rows all stay). Null texts and roles are empty, a
     null conv_id is one conversation of its own, null turns come first, an empty
     table gives none. Returns conv_id, formatted. Other columns are ignored.
     """
