@@ -103,7 +103,10 @@ def window_members(
     keys = ["ar", "ar_part", "mr", "mr_part"]
     anchored = asked.join(pairs, ["ar", "ar_part"]).select(*keys, "anchor_id", F.col("t").alias("anchor_t"))
     reached = members.join(pairs, ["mr", "mr_part"]).select(*keys, "member_id", F.col("t").alias("member_t"))
-    met = anchored.join(reached, keys).filter(is_member(F.col("member_t"), F.col("anchor_t"), look))
+    # The narrow sides give far wider output: tasks must not be merged by the bytes they read.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = anchored.repartition(tasks, *keys).join(reached.repartition(tasks, *keys), keys)
+    met = met.filter(is_member(F.col("member_t"), F.col("anchor_t"), look))
     return met.select("anchor_id", "anchor_t", "member_id", "member_t")
 
 
