@@ -22,8 +22,8 @@ NEVER = np.iinfo(np.int64).max
 MEET, LEAST = 48, 11
 #: Documents of one tile that are compared in a task with those of one other block.
 BLOCK = 512
-#: Pivots drawn per large tile and round.
-TRIED = 4
+#: Pivots drawn per large tile and round; a round that links one in so many sets has another follow.
+TRIED, WORTH = 4, 16
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -285,8 +285,9 @@ def settle_large(tiled: DataFrame, links: DataFrame, sets: DataFrame, percent: i
     """``links`` with those to pivots in the tiles of more than ``BLOCK`` rows.
 
     A large group of near copies would meet in all its tiles, block by block. Each round every set
-    of another component than its pivots' is held against the best of them, until a round links nothing:
-    what is still apart then is little, or really different.
+    of another component than its pivots' is held against the best of them, until a round links
+    fewer than one in ``WORTH`` of them: what is still apart then is little, or really different. The
+    later rounds leave no link out, so this decides on work only.
     """
     large = tiled.groupBy("token", "band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("token", "band")
     held = store(tiled.join(large, ["token", "band"]))
@@ -294,11 +295,12 @@ def settle_large(tiled: DataFrame, links: DataFrame, sets: DataFrame, percent: i
     while True:
         found = store(pivots(held, components(links), seed))
         fresh = store(verified(found, sets, percent))
-        if fresh.isEmpty():
-            discard(held, found, fresh)
-            return links
+        asked, linked = found.count(), fresh.count()
         links, seed = store(links.unionByName(fresh)), seed + TRIED
         discard(found, fresh)
+        if WORTH * linked < asked or not linked:
+            discard(held)
+            return links
 
 
 def join(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
