@@ -101,25 +101,44 @@ def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[list[np.ndarray], li
     return [seen, other], [n, np.zeros(len(other), dtype=np.int64)]
 
 
+class Tally:
+    """A block's distinct keys and their counts in training texts, piece by piece.
+
+    Equal keys of the pieces fall together as soon as those added outgrow the distinct ones.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.counts = [], []
+
+    def add(self, keys: np.ndarray, train: np.ndarray) -> None:
+        fresh = _distinct(keys, train)
+        self.keys += fresh[0]
+        self.counts += fresh[1]
+        if sum(map(len, self.keys[1:])) > max(len(self.keys[0]), CHUNK):
+            key, n = _tally(self.keys, self.counts)
+            self.keys, self.counts = [key], [n]
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, ascending, and their counts; the tally is empty then."""
+        out = _tally(self.keys, self.counts)
+        self.keys, self.counts = [], []
+        return out
+
+
 def posted(rows: DataFrame, lower: bool) -> DataFrame:
     """kind, key, block, n: each block's distinct grams and words and their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {GRAM: ([], []), WORD: ([], [])}
+        now, held = None, {GRAM: Tally(), WORD: Tally()}
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for kind, (keys, counts) in held.items():
-                key, n = _tally(keys, counts)
-                keys.clear(), counts.clear()
+            for kind, tally in held.items():
+                key, n = tally.taken()
                 for a in range(0, len(key), CHUNK):
                     m = len(key[a : a + CHUNK])
                     columns = [pa.array(np.full(m, kind, dtype=np.int8)), pa.array(key[a : a + CHUNK]), pa.array(np.full(m, now)), pa.array(n[a : a + CHUNK])]
                     yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "block", "n"])
 
-        def add(kind: int, keys: np.ndarray, train: np.ndarray) -> None:
-            for mine, fresh in zip(held[kind], _distinct(keys, train)):
-                mine += fresh
-
         for batch in batches:
             block = batch.column(2).to_numpy()
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
@@ -133,9 +152,9 @@ def posted(rows: DataFrame, lower: bool) -> DataFrame:
                 for x, y, raw, offsets in _parts(batch.column(0).slice(a, b - a), lower):
                     own = train[x:y]
                     for gram, text in grams(raw, offsets):
-                        add(GRAM, gram, own[text])
+                        held[GRAM].add(gram, own[text])
                     hashes, first = sym.word_hashes(raw, offsets)
-                    add(WORD, hashes.view(np.int64), np.repeat(own, np.diff(first)))
+                    held[WORD].add(hashes.view(np.int64), np.repeat(own, np.diff(first)))
         if now is not None:
             yield from emit()
 
