@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -252,7 +253,7 @@ def _add_up(texts: pa.Table, known: pa.Table, lower: bool, ends: int, total: int
     """The scores of one block's texts from the answers for its grams and words."""
     table = {}
     for kind in (GRAM, WORD):
-        own = known.filter(pa.compute.equal(known.column("kind"), kind))
+        own = known.filter(pc.equal(known.column("kind"), kind))
         key, value = own.column("key").to_numpy(), own.column("value").to_numpy()
         key, first = np.unique(key, return_index=True)
         table[kind] = key, value[first]
