@@ -37,6 +37,29 @@ def test_terms_prefer_list_order_and_whole_words(spark):
     assert one(spark, "same", lambda c: text.remove_terms(c, [])) == "same"
 
 
+def _applied_patterns(spark, expr):
+    """The plan's text: which patterns stand under a condition."""
+    df = spark.createDataFrame([("x",)], "x string").select(expr("x").alias("y"))
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clean_text_reads_past_texts_without_signs(spark):
+    plan = _applied_patterns(spark, text.clean_text)
+    assert all(f", {sign})" in plan and "Contains(" in plan for sign in ("<", "http", "www.", "@"))
+    # Terms and dates are tried only where one can start.
+    assert "(?=[bt])" in _applied_patterns(spark, lambda c: text.remove_terms(c, ["the", "bull"]))
+    assert "(?=[0-9jfmasond])" in _applied_patterns(spark, text.remove_dates)
+
+
+@pytest.mark.parametrize("terms", [["the", "the end", "été"], ["c++", "a b"], [".net", "the"], ["", "x"], ["_a", "9"]])
+def test_terms_are_cut_at_the_same_edges(spark, terms):
+    bodies = ["the end of été", "c++ a b c+++", "x.net .net the.net", "xx x x", "_a 9 99 a_a", "thé the_ the-end", "été étés", ""]
+    plain = f"{text.EDGE}(?:{'|'.join(map(re.escape, terms))}){text.EDGE}"
+    df = spark.createDataFrame([(b,) for b in bodies], "x string")
+    for r in df.select(text.remove_terms("x", terms).alias("got"), F.regexp_replace("x", plain, "").alias("want")).collect():
+        assert r["got"] == r["want"]
+
+
 @pytest.mark.parametrize("body", [
     "on 2022-06-01 end", "01/06/2022 end", "1-6-22 end", "June 1, 2022 end", "1 June 2022 end", "march 14 end",
     "14 Mar. end", "in 2022 nothing",
