@@ -110,3 +110,13 @@ def test_lemmas_and_embedding_text(spark):
 def test_suffix_lemmas(spark):
     df = spark.createDataFrame([("walk walking walked thing talks",)], "x string")
     assert {tuple(r) for r in lemmas.suffix_lemmas(df, "x").collect()} == {("walking", "walk"), ("walked", "walk")}
+
+
+def test_tokens_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "walked the walk"), (1, "b"), (None, "walked"), (2, None), (3, "")], "k int, x string")
+    table = spark.createDataFrame([("walked", "walk")], "token string, lemma string")
+    out = lemmas.lemmatize(df, table, "k", "x")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # Texts are dealt out by key before their tokens are: no shuffle stands above the explode.
+    assert plan.index("Generate") < plan.index("REPARTITION_BY_NUM") and "ENSURE_REQUIREMENTS" not in plan
+    assert {tuple(r) for r in out.collect()} == {(1, "b walk walk"), (None, "walk"), (2, ""), (3, "")}

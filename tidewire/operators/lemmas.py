@@ -29,11 +29,15 @@ def lemmatize(
 ) -> DataFrame:
     """(key, lemmas): the row's tokens as lemmas, stop words left out, in order.
 
-    Both small tables meet the tokens map-side; a row's tokens stay in one task
-    up to the final collection, which is bounded by the length of one text.
+    Texts are dealt out by key while they are whole: one shuffle of the texts, and none of their
+    tokens, as a key's tokens are then in one task up to their collection, which is
+    bounded by the length of the key's texts. The small tables meet the tokens map-side.
     """
     stops = list(stop_words)
-    tokens = df.select(key, F.posexplode_outer(F.split(F.col(col), " ")).alias("i", "token"))
+    # A number given is kept: joined by size, a few tasks would hold all tokens.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, col).repartition(tasks, key)
+    tokens = rows.select(key, F.posexplode_outer(F.split(F.col(col), " ")).alias("i", "token"))
     joined = tokens.join(small(lemmas), "token", "left").withColumn("t", F.coalesce("lemma", "token"))
     # NULLs are not collected: a text without any kept token still has its row.
     kept = F.when((F.col("token") != "") & ~F.col("token").isin(stops), F.struct("i", "t"))
