@@ -1,5 +1,7 @@
 """LM scoring: what a block holds follows its distinct grams, not its length."""
 
+import tracemalloc
+
 import numpy as np
 
 from tidewire.llm import lm_scoring as lm
@@ -19,3 +21,16 @@ def test_a_block_holds_its_distinct_keys(monkeypatch):
     key, n = tally.taken()
     assert dict(zip(key.tolist(), n.tolist())) == want and (np.diff(key) > 0).all()
     assert not len(tally.taken()[0])
+
+
+def test_a_task_of_the_trie_holds_few_leaves():
+    rng = np.random.default_rng(1)
+    key = np.unique(rng.integers(0, 1 << 45, size=lm.LEAVES) & ~np.int64(0x100804020100))
+    n = rng.integers(0, 3, size=len(key))
+    pairs = np.zeros((lm.ALPHABET, lm.ALPHABET), dtype=np.int64)
+    np.add.at(pairs, ((key >> lm.BITS) & lm.LOW, key & lm.LOW), n)
+    tracemalloc.start()
+    value = lm.Trie(key, n, pairs).log10(key)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(value).all() and most < 60e6

@@ -29,8 +29,8 @@ ORDER = 4
 EDGE, ALPHABET, BITS = 256, 257, 9
 #: Bytes of text in a block (one longer text is a block), symbols looked at in one go.
 BLOCK, CHUNK = 16 << 20, 1 << 18
-#: Distinct grams per task of the trie.
-LEAVES = 500_000
+#: Distinct grams per task of the trie: about 40 MB of tables in its worker.
+LEAVES = 200_000
 GRAM, WORD = 0, 1
 LOW = (1 << BITS) - 1
 
@@ -241,7 +241,11 @@ def _leaf_values(leaves: DataFrame, tasks: int) -> DataFrame:
         key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
         order = np.argsort(key)
         key, n = key[order], n[order]
-        return pa.table({"key": key, "value": Trie(key, n, pairs).log10(key)})
+        trie = Trie(key, n, pairs)
+        value = np.concatenate([trie.log10(key[a : a + CHUNK]) for a in range(0, len(key), CHUNK)])
+        del table, trie
+        pa.default_memory_pool().release_unused()
+        return pa.table({"key": key, "value": value})
 
     # The two symbols before the predicted one decide the task: their leaves have all longer contexts.
     last = F.expr(f"shiftright(key, {BITS}) & {(1 << 2 * BITS) - 1}")
@@ -253,10 +257,13 @@ def _add_up(texts: pa.Table, known: pa.Table, lower: bool, ends: int, total: int
     """The scores of one block's texts from the answers for its grams and words."""
     table = {}
     for kind in (GRAM, WORD):
-        own = known.filter(pc.equal(known.column("kind"), kind))
+        own = known.select(["key", "value"]).filter(pc.equal(known.column("kind"), kind))
         key, value = own.column("key").to_numpy(), own.column("value").to_numpy()
-        key, first = np.unique(key, return_index=True)
-        table[kind] = key, value[first]
+        # A block posts each key once.
+        order = np.argsort(key)
+        table[kind] = key[order], value[order]
+    del known, own, key, value, order
+    pa.default_memory_pool().release_unused()
     column = texts.column("text").combine_chunks()
     m = len(column)
     model, plain = np.zeros(m), np.full(m, math.log10((ends + 0.5) / below))
