@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,10 +162,10 @@ def meeting_points(nodes: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _common(rows, lefts, first, ends, flat, meets, token) -> tuple[np.ndarray, np.ndarray]:
+def _common(left, right, ends, flat, meets, token) -> tuple[np.ndarray, np.ndarray]:
     """For each left and right row of a tile: hashes in common, and those of them at which the
     two would have met in an earlier tile."""
-    rows = np.concatenate([rows[first[rows]], rows[~first[rows]]])
+    rows, lefts = np.concatenate([left, right]), len(left)
     count = (ends[rows + 1] - ends[rows]).astype(np.int64)
     index = np.arange(count.sum()) + np.repeat(ends[rows] - (np.cumsum(count) - count), count)
     values, column, times = np.unique(flat[index], return_inverse=True, return_counts=True)
@@ -185,7 +186,7 @@ def _common(rows, lefts, first, ends, flat, meets, token) -> tuple[np.ndarray, n
 
 
 def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of different roots that share enough hashes and whose bitmaps allow a link.
+    """Pairs of different roots that share enough hashes and whose bitmaps allow a link, stored.
 
     In each tile the members of the most frequent root stand against the rest; blocks of the
     rest meet all blocks, so a large settled group costs nothing. A pair is looked at in the
@@ -194,28 +195,43 @@ def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: in
     """
     keys = ["token", "band"]
     known = tiled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per_root = known.groupBy(*keys, "root").agg(F.count("*").alias("n"))
-    top = per_root.groupBy(*keys).agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")).where(F.col("all") > F.col("top.n"))
+    per_root = known.groupBy(*keys, "root").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    top = (
+        per_root.groupBy(*keys).agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"), F.min("least").alias("least"))
+        .where(F.col("all") > F.col("top.n"))
+    )
     split = known.join(top, keys).select(
-        *keys, "upper", "node", "size", "root", (F.col("root") != F.col("top.root")).alias("rest"),
+        *keys, "upper", "node", "size", "root", "least", (F.col("root") != F.col("top.root")).alias("rest"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("others"),
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     side = F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int")
-    as_any = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda r: F.struct(r.alias("left"), own.alias("right"), F.lit(False).alias("first")))
-    as_rest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(side.alias("left"), b.alias("right"), F.lit(True).alias("first")))
-    none = F.array().cast("array<struct<left:int,right:int,first:boolean>>")
+    # A row that stands on both sides of a pair of blocks travels once.
+    as_any = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda r: F.struct(
+        r.alias("left"), own.alias("right"), (F.col("rest") & (r == side)).alias("first"), F.lit(True).alias("second")))
+    elsewhere = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own)
+    as_rest = F.transform(elsewhere, lambda b: F.struct(
+        side.alias("left"), b.alias("right"), F.lit(True).alias("first"), F.lit(False).alias("second")))
+    none = F.array().cast("array<struct<left:int,right:int,first:boolean,second:boolean>>")
     placed = split.withColumn("p", F.explode(F.concat(as_any, F.when(F.col("rest"), as_rest).otherwise(none))))
-    full = placed.select(*keys, "upper", "node", "size", "root", "p.*").join(signs, "node")
-    # Many tiles share a task; one tile's pair of blocks is never split.
-    tile = F.xxhash64(*keys, "left", "right")
-    dealt = full.withColumn("tile", tile).withColumn("task", F.pmod(tile, F.lit(4 * partitions(tiled.sparkSession))))
-
-    def compare(table):
-        names = ("token", "node", "size", "root", "need", "tile")
-        token, node, size, root, need, tiles_ = (table.column(c).to_numpy() for c in names)
-        upper, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("upper", "first"))
-        bitmaps, lists = table.column("bits").to_pylist(), table.column("known").combine_chunks()
+    # Many tiles share a task; one tile's pair of blocks is never split. Tiles with the same smallest
+    # node, at most two per hash it meets by, have mostly the same sets: they go together.
+    task = F.pmod(F.xxhash64("least", "p.left", "p.right"), F.lit(4 * partitions(tiled.sparkSession)))
+    dealt = store(placed.select(
+        "token", "node", "size", "root", "upper", "p.first", "p.second", F.xxhash64(*keys, "p.left", "p.right").alias("tile"),
+        task.alias("task")))
+    # A set's hashes and bitmap travel once to a task, and not once for each of its tiles there.
+    told = dealt.select("task", "node").distinct().toDF("task", "node").join(signs, "node")
+
+    def compare(table, signed):
+        bitmaps, lists = signed.column("bits").to_pylist(), signed.column("known").combine_chunks()
+        need, named = signed.column("need").to_numpy(), signed.column("node").to_numpy()
+        table = table.filter(pc.is_in(table.column("node"), signed.column("node")))
+        names = ("token", "node", "size", "root", "tile")
+        token, node, size, root, tiles_ = (table.column(c).to_numpy() for c in names)
+        by_name = np.argsort(named, kind="stable")
+        at = by_name[np.searchsorted(named, node, sorter=by_name)] if len(node) else node
+        upper, first, second = (table.column(c).to_numpy(zero_copy_only=False) for c in ("upper", "first", "second"))
         ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         places = np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends))
         meets = places <= np.repeat(np.diff(ends) - need, np.diff(ends))
@@ -224,7 +240,7 @@ def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: in
         out_a, out_b, out_s = [], [], []
         for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             rows = order[x:y]
-            left, right = rows[first[rows]], rows[~first[rows]]
+            left, right = rows[first[rows]], rows[second[rows]]
             if not len(left) or not len(right) or (root[rows] == root[rows[0]]).all():
                 continue
             able = root[left][:, None] != root[right][None, :]
@@ -233,14 +249,14 @@ def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: in
             able &= 100 * small >= percent * large
             if not able.any():
                 continue
-            shared, lower = _common(rows, len(left), first, ends, flat, meets, token[rows[0]])
-            able &= (shared >= np.minimum.outer(need[left], need[right])) & (lower == 0)
+            shared, lower = _common(at[left], at[right], ends, flat, meets, token[rows[0]])
+            able &= (shared >= np.minimum.outer(need[at[left]], need[at[right]])) & (lower == 0)
             p, q = np.nonzero(able)
             if not len(p):
                 continue
             i, j = left[p], right[q]
             own, place = np.unique(np.r_[i, j], return_inverse=True)
-            bits = _folded([bitmaps[r] for r in own.tolist()])
+            bits = _folded([bitmaps[r] for r in at[own].tolist()])
             weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
             u, v = place[: len(i)], place[len(i) :]
             meet = np.concatenate([
@@ -260,10 +276,14 @@ def candidates(tiled: DataFrame, roots: DataFrame, signs: DataFrame, percent: in
         a, b = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (out_a, out_b))
         return pa.table({"a": pa.array(a), "b": pa.array(b), "score": pa.array(np.concatenate(out_s) if out_s else np.zeros(0))})
 
-    found = dealt.groupBy("task").applyInArrow(lambda t: compare(t), "a long, b long, score double")
+    found = dealt.groupBy("task").cogroup(told.groupBy("task")).applyInArrow(lambda t, u: compare(t, u), "a long, b long, score double")
     if best:
-        return found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    else:
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = store(found)
+    discard(dealt)
+    return found
 
 
 def pivots(tiled: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
@@ -351,7 +371,7 @@ def labels(docs: DataFrame, percent: int, n: int, key: Column) -> DataFrame:
     links = settle_large(tiled, store(verified(store(chosen), sets, percent)), sets, percent)
     for best in (True, False):
         roots = components(links)
-        found = store(candidates(tiled, roots, signs, percent, best))
+        found = candidates(tiled, roots, signs, percent, best)
         links = store(links.unionByName(verified(found, sets, percent)))
         discard(found)
     roots = components(links)
