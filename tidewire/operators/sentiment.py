@@ -72,30 +72,47 @@ def score_text(
     return score_algebra(named.drop("_logits", "_p"))
 
 
+def _body(col: str) -> Column:
+    return text.squeeze(F.coalesce(F.lower(F.col(col)), F.lit("")))
+
+
 def _words(df: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, words, mark): words without outer punctuation, punctuation emphasis."""
-    body = text.squeeze(F.coalesce(F.lower(F.col(col)), F.lit("")))
+    """(key, words): words without outer punctuation."""
+    body = _body(col)
     # Only words that keep three or more signs are cut: short ones are emoticons.
     sign = r"!-/:-@\[-`{-~"
     outer = rf"(?<![^ ])[{sign}]*([^{sign} ][^ ]+[^{sign} ])[{sign}]*(?![^ ])"
     words = F.split(F.regexp_replace(body, outer, "$1"), " ")
+    return df.select(key, F.when(body != "", words).otherwise(F.array().cast("array<string>")).alias("words"))
+
+
+def _counts(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, n, mark): the number of words, punctuation emphasis.
+
+    Cutting outer punctuation leaves every word in its place, so the spaces tell the number.
+    """
+    body = _body(col)
+    spaces = F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit("")))
     shouts = F.least(F.regexp_count(F.col(col), F.lit("!")), F.lit(4)) * 0.292
     asks = F.regexp_count(F.col(col), F.lit(r"\?"))
     doubts = F.when(asks > 3, 0.96).when(asks > 1, asks * 0.18).otherwise(0.0)
     return df.select(
         key,
-        F.when(body != "", words).otherwise(F.array().cast("array<string>")).alias("words"),
+        F.when(body != "", spaces + 1).otherwise(0).alias("n"),
         F.coalesce(shouts + doubts, F.lit(0.0)).alias("mark"),
     )
 
 
+def _negates(word: Column) -> Column:
+    return word.isin(NEGATIONS) | word.contains("n't")
+
+
 def _step(valence: Column, word: Column, known: Column, fade: float) -> Column:
     """Effect on a word's valence of one earlier word that is no lexicon term."""
     push = F.when(word.isin(INTENSIFIERS), BOOST).when(word.isin(DAMPENERS), -BOOST).otherwise(0.0)
     moved = valence + F.when(valence < 0, -push * fade).otherwise(push * fade)
-    negated = word.isin(NEGATIONS) | word.contains("n't")
     return F.when(word.isNull() | known, valence).otherwise(
-        F.when(negated, moved * FLIP).otherwise(moved)
+        F.when(_negates(word), moved * FLIP).otherwise(moved)
     )
 
 
@@ -108,6 +125,8 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, col: str) ->
     """
     movers = INTENSIFIERS + DAMPENERS
     terms = small(lexicon.filter(~F.col("term").isin(movers)).select("term", "valence"))
+    # Of the words before, only negations can be terms and yet have an effect.
+    negations = small(terms.filter(_negates(F.col("term"))).select("term").distinct())
     words = _words(df, key, col)
     # The words moved along by one to three places sit beside the words.
     none = F.lit(None).cast("string")
@@ -122,8 +141,8 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, col: str) ->
     )
     hits = placed.join(terms, "term")
     for k in (1, 2, 3):
-        known = terms.select(F.col("term").alias(f"p{k}"), F.lit(True).alias(f"known{k}"))
-        hits = hits.join(known, f"p{k}", "left")
+        known = negations.select(F.col("term").alias(f"n{k}"), F.lit(True).alias(f"known{k}"))
+        hits = hits.withColumn(f"n{k}", F.when(_negates(F.col(f"p{k}")), F.col(f"p{k}"))).join(known, f"n{k}", "left")
         hits = hits.withColumn(
             "valence",
             _step(F.col("valence"), F.col(f"p{k}"), F.coalesce(f"known{k}", F.lit(False)), FADE[k - 1]),
@@ -140,7 +159,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, col: str) ->
         F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("down"),
         F.count(F.when(v != 0, 1)).alias("charged"),
     )
-    counted = words.select(key, F.size("words").alias("n"), "mark").join(sums, key, "left")
+    counted = _counts(df, key, col).join(sums, key, "left")
     zero = F.lit(0.0)
     s, up, down = (F.coalesce(c, zero) for c in ("s", "up", "down"))
     mark = F.col("mark")
